@@ -6,6 +6,7 @@ functions that see text.  For storage alone Parquet compresses by itself.
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def _block_size(block: bytes) -> int:
@@ -29,13 +30,13 @@ def _decompress(block):
     return data.decode("utf-8")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def encode_text(text: pa.Array) -> pa.Array:
     """Text to the raw Snappy block of its UTF-8 bytes."""
     return pa.array([_compress(value.as_py()) for value in text], pa.binary())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def decode_text(block: pa.Array) -> pa.Array:
     """Raw Snappy block to text; a corrupt block fails the task."""
     return pa.array([_decompress(value.as_py()) for value in block], pa.string())

@@ -23,10 +23,6 @@ PART_BYTES = 128 << 20
 MAX_PARTS = 500_000
 MAX_WRITE_TASKS = 20_000
 
-_BY_SEQ = Window.partitionBy("block").orderBy("seq")
-_SO_FAR = _BY_SEQ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE = _BY_SEQ.rowsBetween(Window.unboundedPreceding, -1)
-
 
 @dataclass(frozen=True)
 class ScanPositions:
@@ -83,8 +79,8 @@ def scan_positions(corpus: DataFrame, blocks: int | None = None) -> ScanPosition
         [(t["block"], r, b) for t, r, b in zip(totals, rows_before, bytes_before)],
         "block int, rows_before bigint, bytes_before bigint",
     )
-    pos = F.col("rows_before") + F.row_number().over(_BY_SEQ) - 1
-    end = F.col("bytes_before") + F.sum("bytes").over(_SO_FAR)
+    pos = F.col("rows_before") + F.row_number().over(_by_seq()) - 1
+    end = F.col("bytes_before") + F.sum("bytes").over(_up_to(0))
     rows = table.join(F.broadcast(offsets), "block").select(
         "block", "seq", "bytes", pos.alias("pos"), (end - F.col("bytes")).alias("start")
     )
@@ -130,8 +126,8 @@ def rechunk_by_bytes(positions: ScanPositions, n_chunks: int = CHUNKS) -> ChunkL
         spare = _thresholds_reached(end, total, n_chunks) - F.col("pos")
         rows = _with_least_before(positions.rows.withColumn("spare", spare))
         one = F.lit(1).cast("bigint")
-        here = F.least(one, "least_before", F.min("spare").over(_SO_FAR))
-        earlier = F.least(one, "least_before", F.min("spare").over(_BEFORE))
+        here = F.least(one, "least_before", F.min("spare").over(_up_to(0)))
+        earlier = F.least(one, "least_before", F.min("spare").over(_up_to(-1)))
         closed = F.col("pos") + here
         before = F.when(F.col("pos") == 0, 0).otherwise(F.col("pos") - 1 + earlier)
     chunk = F.least(before.cast("bigint"), last).cast("int")
@@ -202,6 +198,14 @@ def assign_chunks(
     )
 
 
+def _by_seq():
+    return Window.partitionBy("block").orderBy("seq")
+
+
+def _up_to(row: int):
+    return _by_seq().rowsBetween(Window.unboundedPreceding, row)
+
+
 def _thresholds_reached(reached: Column, total: int, n_chunks: int) -> Column:
     # floor(total * (j + 1) / n) <= x  <=>  j + 1 <= (n * (x + 1) - 1) div total;
     # in decimals, for the product outgrows 64 bits.
