@@ -45,9 +45,12 @@ def match_regex(pattern: str, whole_words: bool = False) -> str:
     check_pattern(pattern)
     shift = self_overlap_shift(pattern)
     head, tail = quote_pattern(pattern[:shift]), quote_pattern(pattern[shift:])
-    if whole_words:
-        return f"{head}(?={tail}(?!{_WORD}))(?<!{_WORD}{head})"
-    return f"{head}(?={tail})" if tail else head
+    if not whole_words:
+        return f"{head}(?={tail})" if tail else head
+    free_after = f"(?!{_WORD})"
+    if tail:
+        free_after = f"(?={tail}{free_after})"
+    return f"{head}{free_after}(?<!{_WORD}{head})"
 
 
 def check_pattern(pattern: str) -> None:

@@ -8,7 +8,7 @@ from lexisweep.functions.wiki import strip_links as strip_links_column
 
 
 def select_page_text(dump: DataFrame) -> DataFrame:
-    """Title and article text; only these two fields are parsed and kept."""
+    """Title and article text; of a page no other elements than theirs are read."""
     return dump.select("title", F.col("revision.text._VALUE").alias("text"))
 
 

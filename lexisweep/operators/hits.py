@@ -41,7 +41,16 @@ def merge_hits(best: DataFrame, records: DataFrame) -> DataFrame:
     union = best.select(*columns, F.lit(_BEST).alias("kind")).unionByName(
         records.select(*columns, F.lit(_RECORD).alias("kind"))
     )
-    return _last_per_title(union, "title")
+    return _last_inserted(union, "title")
+
+
+def last_per_title(hits: DataFrame) -> DataFrame:
+    """One row per title over all hits.
+
+    What merge_hits comes to without a capacity: each best page is then among
+    the hits, which are inserted after it.
+    """
+    return hits.groupBy("title").agg(F.max_by("count", "seq").alias("count"))
 
 
 def num_result_records(merged: DataFrame) -> DataFrame:
@@ -89,8 +98,7 @@ def respond(
     """
     hits = filter_min_matches(scored, min_matches)
     if capacity is None:
-        merged = _last_per_title(hits.withColumn("kind", F.lit(_RECORD)), "title")
-        return result_bands(merged, all_known=True)
+        return result_bands(last_per_title(hits), all_known=True)
 
     best = F.struct(
         F.lit(_BEST).alias("kind"),
@@ -114,7 +122,7 @@ def respond(
     marked = kept.withColumn(
         "title", F.when(F.col("overflow"), F.lit("")).otherwise(F.col("title"))
     )
-    merged = _last_per_title(marked, "overflow", "title")
+    merged = _last_inserted(marked, "overflow", "title")
     order = (F.desc("overflow"), F.desc("count"), F.asc("title"))
     shown = merged.orderBy(*order).limit(SHOWN + 1)
     everything = Window.partitionBy()  # <= 101 rows
@@ -128,7 +136,7 @@ def respond(
     return _band(ranked)
 
 
-def _last_per_title(hits, *keys):
+def _last_inserted(hits, *keys):
     inserted = F.struct("chunk_id", "kind", "seq")
     return hits.groupBy(*keys).agg(F.max_by("count", inserted).alias("count"))
 

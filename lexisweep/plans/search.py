@@ -1,11 +1,12 @@
 """Search jobs: one query, or a table of queries, over a whole corpus."""
 
 from dataclasses import dataclass
-from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexisweep.functions import multi_match
 from lexisweep.functions.match import match_regex, self_overlap_shift
 from lexisweep.operators import hits as hit_ops
 from lexisweep.operators import stats as stat_ops
@@ -14,8 +15,8 @@ from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.schema import CORPUS_KEYS
 from lexisweep.staging import staged
 
-# Patterns answered by one scan; more take more scans.
-PATTERNS_PER_SCAN = 512
+# Up to here a loop of built-in expressions is the faster way to count a batch.
+FEW_PATTERNS = 24
 
 
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:
@@ -71,9 +72,8 @@ class Search:
     def merged(self) -> DataFrame:
         k = self.query.min_matches
         if self.capacity is None:
-            records = filter_min_matches(self.scored, k)
-        else:
-            records = hit_ops.first_hits(self.scored, k, self.capacity)
+            return hit_ops.last_per_title(filter_min_matches(self.scored, k))
+        records = hit_ops.first_hits(self.scored, k, self.capacity)
         return hit_ops.merge_hits(hit_ops.best_hits(self.scored, k), records)
 
     def stats(self) -> DataFrame:
@@ -95,20 +95,36 @@ def search_batch(corpus: DataFrame, queries) -> DataFrame:
     """``(query_id, <keys>, count)`` of every matching page of every query.
 
     ``queries`` is a mapping or pairs of id and :class:`Query`.  All patterns
-    of a scan travel as one literal: the corpus is neither joined nor
-    replicated, the text is read once and dropped before rows are multiplied.
+    travel with the plan: the corpus is neither joined nor replicated, the text
+    is read once and dropped before rows are multiplied.  A few patterns are
+    counted by built-in expressions, many by one walk over each text.
     """
     pairs = list(queries.items() if hasattr(queries, "items") else queries)
     if not pairs:
         raise ValueError("no queries given")
     keys = [name for name in CORPUS_KEYS if name in corpus.columns]
-    result = None
-    for group in batched(pairs, PATTERNS_PER_SCAN):
-        hits = corpus.select(*keys, F.inline(_batch_counts(group)))
-        hits = hits.filter(F.col("count") >= F.col("min_matches"))
-        hits = hits.select("query_id", *keys, "count")
-        result = hits if result is None else result.unionAll(hits)
-    return result
+    if len(pairs) > FEW_PATTERNS and multi_match.available():
+        return _batch_by_automaton(corpus, keys, pairs)
+    return _batch_by_expressions(corpus, keys, pairs)
+
+
+def _batch_by_automaton(corpus, keys, pairs):
+    pages = corpus.select(*keys, "text")
+    id_type = T.LongType() if isinstance(pairs[0][0], int) else T.StringType()
+    schema = T.StructType(
+        [
+            T.StructField("query_id", id_type),
+            *(pages.schema[name] for name in keys),
+            T.StructField("count", T.LongType()),
+        ]
+    )
+    return pages.mapInArrow(multi_match.batch_counter(pairs, keys), schema)
+
+
+def _batch_by_expressions(corpus, keys, pairs):
+    hits = corpus.select(*keys, F.inline(_batch_counts(pairs)))
+    hits = hits.filter(F.col("count") >= F.col("min_matches"))
+    return hits.select("query_id", *keys, "count")
 
 
 def collect_queries(queries: DataFrame):
@@ -167,9 +183,11 @@ def _batch_counts(pairs) -> Column:
 def _pattern_literal(key, query):
     plain = not query.whole_words and self_overlap_shift(query.pattern) == len(query.pattern)
     regex = None if plain else match_regex(query.pattern, query.whole_words)
+    identity = F.lit(key).cast("bigint") if isinstance(key, int) else F.lit(key)
     return F.struct(
-        F.lit(key).alias("query_id"),
+        identity.alias("query_id"),
         F.lit(query.pattern).alias("pattern"),
         F.lit(regex).cast("string").alias("regex"),
         F.lit(query.min_matches).cast("bigint").alias("min_matches"),
     )
+

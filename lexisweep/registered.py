@@ -24,7 +24,7 @@ from lexisweep.schema import ROWS_PER_CHUNK
 from lexisweep.sources.chunk_files import read_chunks, write_chunks
 from lexisweep.sources.dataset import dataset_head, open_dataset
 from lexisweep.sources.dump import read_dump, write_dump
-from lexisweep.staging import new_path
+from lexisweep.staging import new_path, staged
 
 QUERIES = {}
 ORACLES = {}
@@ -349,7 +349,8 @@ banded as (
 
 
 def _merged(spark, folder):
-    pages = _page_the(spark, folder)
+    # Two branches: staged, so that they share one scan of the text.
+    pages = staged(_page_the(spark, folder), "scored")
     return hits.merge_hits(
         hits.best_hits(pages, 2), hits.first_hits(pages, 2, SMALL_CAPACITY)
     )

@@ -1,0 +1,122 @@
+"""Contiguous layouts against the sequential rule."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexisweep.operators import layout
+from lexisweep.plans.prepare import rechunk
+
+
+def corpus(spark, sizes, step=1, start=0):
+    rows = [(start + step * i, size) for i, size in enumerate(sizes)]
+    return spark.createDataFrame(rows, "seq bigint, bytes bigint").repartition(5)
+
+
+def sequential(sizes, n_chunks):
+    total, seen, chunk, ids = sum(sizes), 0, 0, []
+    for size in sizes:
+        ids.append(chunk)
+        seen += size
+        if seen >= total * (chunk + 1) // n_chunks:
+            chunk += 1
+    return ids, chunk
+
+
+def chunk_ids(rows):
+    return [row["chunk_id"] for row in rows.orderBy("seq").collect()]
+
+
+@pytest.mark.parametrize(
+    "sizes, n_chunks, ids, ok",
+    [
+        ([1, 1, 1, 1, 1, 1], 3, [0, 0, 1, 1, 2, 2], True),
+        ([1, 1, 1, 50], 2, [0, 0, 0, 0], False),
+        ([50, 1, 1, 1], 2, [0, 1, 1, 1], True),
+        ([50, 1, 1, 1], 4, [0, 1, 2, 3], True),
+        ([1, 1], 3, None, False),
+    ],
+)
+def test_given_cases(spark, sizes, n_chunks, ids, ok):
+    result = layout.rechunk_by_bytes(layout.scan_positions(corpus(spark, sizes)), n_chunks)
+    if ids is not None:
+        assert chunk_ids(result.rows) == ids
+    assert layout.rechunk_check(result).first()["ok"] is ok
+    if ok:
+        assert layout.require_complete(result) is result
+    else:
+        with pytest.raises(ValueError):
+            layout.require_complete(result)
+
+
+def test_random_against_the_sequential_rule(spark):
+    rng = random.Random(3)
+    for trial in range(12):
+        widest = rng.choice([3, 30, 3000])
+        sizes = [rng.randint(0, widest) for _ in range(rng.randint(1, 60))]
+        if trial % 3 == 0:
+            sizes[rng.randrange(len(sizes))] = 20 * sum(sizes) + 1
+        n_chunks = rng.randint(1, 12)
+        if sum(sizes) < n_chunks:
+            continue
+        positions = layout.scan_positions(corpus(spark, sizes, step=rng.randint(1, 9)), blocks=rng.randint(1, 6))
+        result = layout.rechunk_by_bytes(positions, n_chunks)
+        ids, closed = sequential(sizes, n_chunks)
+        assert chunk_ids(result.rows) == [min(i, n_chunks - 1) for i in ids]
+        assert layout.rechunk_check(result).first()["chunks_closed"] == closed
+
+
+def test_both_ways_to_close_agree(spark):
+    sizes = [random.Random(5).randint(1, 9) for _ in range(400)]
+    positions = layout.scan_positions(corpus(spark, sizes))
+    narrow = layout.rechunk_by_bytes(positions, 15)
+    general = layout.rechunk_by_bytes(
+        layout.ScanPositions(positions.rows, positions.n_rows, positions.n_bytes, 10**9), 15
+    )
+    assert chunk_ids(narrow.rows) == chunk_ids(general.rows) == sequential(sizes, 15)[0]
+
+
+def test_no_bytes_and_no_rows(spark):
+    zeros = layout.rechunk_by_bytes(layout.scan_positions(corpus(spark, [0, 0, 0])), 2)
+    assert chunk_ids(zeros.rows) == [0, 1, 1]
+    empty = layout.scan_positions(corpus(spark, [1]).filter("seq < 0"))
+    assert layout.rechunk_by_bytes(empty, 2).rows.count() == 0
+    assert layout.split_rows(empty, 2).count() == 0
+
+
+@pytest.mark.parametrize("n, slices", [(10, 3), (7, 7), (5, 8), (100, 1), (59, 13)])
+def test_split_rows(spark, n, slices):
+    got = chunk_ids(layout.split_rows(layout.scan_positions(corpus(spark, [1] * n)), slices))
+    want = [j for j in range(slices) for _ in range(n * j // slices, n * (j + 1) // slices)]
+    assert got == want
+
+
+def test_bytes_beyond_64_bit_products(spark):
+    sizes = [10**15 + i for i in range(50)]
+    result = layout.rechunk_by_bytes(layout.scan_positions(corpus(spark, sizes)), 40)
+    assert chunk_ids(result.rows) == sequential(sizes, 40)[0]
+
+
+def test_assigned_corpus_keeps_every_row(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id * 3 as seq", "text")
+    positions = layout.scan_positions(docs)
+    result = layout.rechunk_by_bytes(positions, 6)
+    expected = {r["seq"]: r["chunk_id"] for r in result.rows.collect()}
+    for part_bytes in (1 << 30, 50_000):
+        placed = layout.assign_chunks(docs, result, part_bytes)
+        assert {r["seq"]: r["chunk_id"] for r in placed.select("seq", "chunk_id").collect()} == expected
+    assert placed.select("seq", "text").exceptAll(docs.select("seq", "text")).isEmpty()
+    assert placed.rdd.getNumPartitions() > 6  # a chunk spreads over several tasks
+    sizes = rechunk(docs, 6).groupBy("chunk_id").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    total = sum(row["b"] for row in sizes)
+    assert len(sizes) == 6 and all(abs(row["b"] - total / 6) < total / 12 for row in sizes)
+
+
+def test_too_many_chunks_for_a_lookup(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (i % 7 + 1)) for i in range(60)], "seq bigint, text string")
+    result = layout.rechunk_by_bytes(layout.scan_positions(docs), 9)
+    looked_up = sorted(layout.assign_chunks(docs, result).select("seq", "chunk_id").collect())
+    monkeypatch.setattr(layout, "MAX_PARTS", 5)
+    joined = sorted(layout.assign_chunks(docs, result).select("seq", "chunk_id").collect())
+    assert looked_up == joined
