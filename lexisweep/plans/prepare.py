@@ -30,7 +30,7 @@ def prepare(spark: SparkSession, dump_path: str, compress: bool = False) -> Data
     Parquet compresses anyway.  ``bytes`` is kept so that no later layout job
     has to read the text for its size.
     """
-    pages = clean_pages(read_dump(spark, dump_path))
+    pages = clean_pages(read_dump(spark, dump_path, ("title", "revision")))
     if compress:
         pages = pages.withColumn("text", encode_text("text"))
     return pages.select(

@@ -16,7 +16,7 @@ from lexisweep.schema import CORPUS_KEYS
 from lexisweep.staging import staged
 
 # Up to here a loop of built-in expressions is the faster way to count a batch.
-FEW_PATTERNS = 24
+FEW_PATTERNS = 6
 
 
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ BATCH_ROWS = 4096
 # Names and types inside and outside a chunk file.
 SUFFIX = ".rb"
 FILE_FIELDS = (("title", pa.string()), ("text", pa.binary()))
+MAX_TEXT = (1 << 31) - 1  # what the 32-bit offsets of a record batch can address
 
 
 def read_chunks(spark: SparkSession, prefix: str) -> DataFrame:
@@ -105,6 +107,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         files, path = fs.FileSystem.from_uri(partition.path)
+        if isinstance(files, fs.LocalFileSystem):
+            files = fs.LocalFileSystem(use_mmap=True)
         with files.open_input_file(path) as source:
             batch = pa.ipc.open_file(source).get_batch(0)
         first = partition.chunk_id * ROWS_PER_CHUNK
@@ -140,19 +144,20 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches):
         written = []
-        open_chunk, parts = None, []
+        open_chunk, parts, size = None, [], 0
         # Rows come sorted by chunk, so only one chunk is held at a time.
         for batch in batches:
-            ids = batch.column(0)
-            runs = ids.run_end_encode() if hasattr(ids, "run_end_encode") else None
-            runs = pa.compute.run_end_encode(ids) if runs is None else runs
+            runs = pc.run_end_encode(batch.column("chunk_id"))
             start = 0
             for end, chunk in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
                 if chunk != open_chunk:
                     if parts:
                         written.append(self._write_file(open_chunk, parts))
-                    open_chunk, parts = chunk, []
+                    open_chunk, parts, size = chunk, [], 0
                 parts.append(batch.slice(start, end - start).select(["title", "text"]))
+                size += pc.sum(pc.binary_length(parts[-1].column("text"))).as_py() or 0
+                if size > MAX_TEXT:
+                    raise ValueError(f"chunk {chunk} is over 2 GiB: rechunk into more chunks")
                 start = end
         if parts:
             written.append(self._write_file(open_chunk, parts))
@@ -162,11 +167,10 @@ class _Writer(DataSourceArrowWriter):
         files, folder = fs.FileSystem.from_uri(self.run)
         files.create_dir(folder, recursive=True)
         path = f"{folder}/{chunk}-{uuid.uuid4().hex}{SUFFIX}"
-        table = pa.Table.from_batches(parts).cast(self.schema) if parts else None
-        batches = table.combine_chunks().to_batches() if parts else []
-        if len(batches) > 1:
-            raise ValueError(f"chunk {chunk} is over 2 GiB: use more chunks")
-        batch = batches[0] if batches else pa.RecordBatch.from_pylist([], self.schema)
+        if parts:
+            [batch] = pa.Table.from_batches(parts).cast(self.schema).combine_chunks().to_batches()
+        else:
+            batch = pa.RecordBatch.from_pylist([], self.schema)
         with files.open_output_stream(path) as sink:
             with pa.ipc.new_file(sink, self.schema) as out:
                 out.write_batch(batch)

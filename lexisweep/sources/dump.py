@@ -1,26 +1,42 @@
 """XML dumps."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexisweep.schema import DUMP_PAGE
 
-# How a dump is read.  Surrounding spaces belong to the text.
+# The element of a page, and how it is parsed.  Surrounding
+# spaces belong to the text.
 ROW_TAG = "page"
-READ_OPTIONS = {
-    "rowTag": ROW_TAG,
-    "mode": "DROPMALFORMED",
-    "ignoreSurroundingSpaces": "false",
-}
+PARSE_OPTIONS = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 
+_MALFORMED = "_malformed"
 
-def read_dump(spark: SparkSession, path: str, schema: StructType = DUMP_PAGE) -> DataFrame:
-    """One row per page of a dump, plain or bz2; malformed rows are dropped.
 
-    A row counts as malformed only if a field that the query reads is: Spark
-    parses no others.  Both forms are split, so a large dump is read in parallel.
+def read_dump(spark: SparkSession, path: str, columns=None) -> DataFrame:
+    """One row per page of a dump, plain or bz2; malformed pages are dropped.
+
+    ``columns`` names the top-level elements wanted, all of the schema by
+    default.  A page counts as malformed only if one of these is: nothing else
+    is parsed.
+
+    Spark's XML format reads each file in one task.  A dump is one huge file, so
+    it is cut into records at the end tag by the text source, which splits plain
+    and bz2 files alike, and each record is parsed by itself.
     """
-    return spark.read.format("xml").options(**READ_OPTIONS).schema(schema).load(path)
+    wanted = DUMP_PAGE.fieldNames() if columns is None else list(columns)
+    schema = T.StructType(
+        [DUMP_PAGE[name] for name in wanted] + [T.StructField(_MALFORMED, T.StringType())]
+    )
+    options = PARSE_OPTIONS | {"columnNameOfCorruptRecord": _MALFORMED}
+    end_tag = f"</{ROW_TAG}>"
+    start = F.regexp_extract("value", rf"(?s)<{ROW_TAG}[\s>].*", 0)
+    records = spark.read.text(path, lineSep=end_tag).select(start.alias("page"))
+    page = F.from_xml(F.concat("page", F.lit(end_tag)), schema, options)
+    # Through a generator, so that the test below does not parse a second time.
+    parsed = records.filter(F.col("page") != "").select(F.inline(F.array(page)))
+    return parsed.filter(F.col(_MALFORMED).isNull()).drop(_MALFORMED)
 
 
 def write_dump(pages: DataFrame, path: str, compression: str = "none") -> None:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lexisweep.functions.codec import decode_text, encode_text
 from lexisweep.operators import clean
 from lexisweep.plans.prepare import clean_pages, prepare
-from lexisweep.schema import ROWS_PER_CHUNK
+from lexisweep.schema import DUMP_PAGE, ROWS_PER_CHUNK
 from lexisweep.sources.chunk_files import read_chunks, write_chunks
 from lexisweep.sources.dataset import OpenDataset, dataset_head, write_dataset
-from lexisweep.sources.dump import read_dump
+from lexisweep.sources.dump import read_dump, write_dump
 from lexisweep.staging import shared_folder
 
 DUMP = """<mediawiki>
@@ -29,6 +29,7 @@ DUMP = """<mediawiki>
   <page><title>Foo 2:Bar</title><id>8</id><revision><text>t</text></revision></page>
   <page><title>Spaces</title><id>9</id><revision><text xml:space="preserve">  two
  lines &amp; more </text></revision></page>
+  <page><title>Torn</title><revision><text>t</page>
 </mediawiki>
 """
 
@@ -57,17 +58,43 @@ def dump_path(request, tmp_path):
 
 
 def test_cleaned_dump(spark, dump_path):
-    assert dict(clean_pages(read_dump(spark, dump_path)).collect()) == CLEANED
+    dump = read_dump(spark, dump_path, ("title", "revision"))
+    assert dict(clean_pages(dump).collect()) == CLEANED
 
 
 def test_malformed_pages(spark, dump_path):
+    assert "Bad" in [r.title for r in read_dump(spark, dump_path, ["title"]).collect()]
     dump = read_dump(spark, dump_path)
-    assert "Bad" in [r.title for r in dump.select("title").collect()]
-    assert "Bad" not in [r.title for r in dump.select("title", "id").collect()]
+    assert dump.schema == DUMP_PAGE
+    assert "Bad" not in [r.title for r in dump.collect()]
     first = dump.filter("id = 1").first()
     assert (first.ns, first.revision.id, first.revision.contributor.id) == (0, 11, 5)
 
 
+@pytest.mark.parametrize("compression", ["none", "bzip2"])
+def test_a_dump_is_split(spark, data, tmp_path, compression):
+    """Small splits cut pages anywhere; each page is still read just once."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    path = str(tmp_path / "dump")
+    shaped = docs.selectExpr(
+        "concat('t', doc_id) as title",
+        "named_struct('text', named_struct('_VALUE', text, '_space', 'preserve')) as revision",
+    )
+    write_dump(shaped.coalesce(1), path, compression)
+    settings = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        dump = read_dump(spark, path, ("title", "revision"))
+        assert dump.rdd.getNumPartitions() > 20
+        back = dump.selectExpr("title", "revision.text._VALUE as text")
+        want = docs.selectExpr("concat('t', doc_id) as title", "text")
+        assert back.count() == want.count() and back.exceptAll(want).isEmpty()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_prepared_corpus(spark, dump_path, tmp_path):
     corpus = prepare(spark, dump_path)
     rows = corpus.orderBy("seq").collect()
@@ -78,6 +105,7 @@ def test_prepared_corpus(spark, dump_path, tmp_path):
     assert dict(packed.select("title", decode_text("text")).collect()) == CLEANED
     plan = corpus._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "redirect" not in plan
+    assert plan.count("from_xml") == 1
     write_dataset(corpus, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(CLEANED)
 
