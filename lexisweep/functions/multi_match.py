@@ -24,13 +24,15 @@ def available() -> bool:
 
 def batch_counter(queries, keys):
     """A function for ``mapInArrow``: from ``keys`` and ``text`` to one row
-    ``(query_id, <keys>, count)`` per text and matching query.
+    ``(query_id, min_matches, <keys>, count)`` per text and query that occurs in
+    it, or has no minimum.
 
     ``queries`` is a list of pairs of id and Query.
     """
     wanted = [(q.pattern, q.whole_words, q.min_matches) for _, q in queries]
     id_type = pa.int64() if isinstance(queries[0][0], int) else pa.string()
     ids = pa.array([key for key, _ in queries], id_type)
+    minima = pa.array([least for *_, least in wanted], pa.int64())
 
     def count(batches):
         automaton = _automaton(wanted)
@@ -41,15 +43,14 @@ def batch_counter(queries, keys):
                 counted = _occurrences(automaton, text.as_py() or "")
                 for index in always:
                     counted.setdefault(index, 0)
-                for index, n in counted.items():
-                    if n >= wanted[index][2]:
-                        rows.append(row)
-                        found.append(index)
-                        counts.append(n)
+                rows.extend([row] * len(counted))
+                found.extend(counted.keys())
+                counts.extend(counted.values())
             kept = batch.select(list(keys)).take(pa.array(rows, pa.int64()))
+            index = pa.array(found, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(found, pa.int32())), *kept.columns, pa.array(counts, pa.int64())],
-                names=["query_id", *keys, "count"],
+                [ids.take(index), minima.take(index), *kept.columns, pa.array(counts, pa.int64())],
+                names=["query_id", "min_matches", *keys, "count"],
             )
 
     return count

@@ -40,8 +40,8 @@ def search_response(
 ) -> DataFrame:
     """The ranked pages to show, in one scan.
 
-    ``capacity`` limits the hits stored per chunk, as the original does with
-    256; without it the ranking is over all matches.
+    ``capacity`` limits the hits stored per chunk (256 is customary), so the
+    answer then depends on the chunks; without it all matches are ranked.
     """
     return hit_ops.respond(_scored(corpus, query), query.min_matches, capacity)
 
@@ -94,37 +94,53 @@ class Search:
 def search_batch(corpus: DataFrame, queries) -> DataFrame:
     """``(query_id, <keys>, count)`` of every matching page of every query.
 
-    ``queries`` is a mapping or pairs of id and :class:`Query`.  All patterns
-    travel with the plan: the corpus is neither joined nor replicated, the text
-    is read once and dropped before rows are multiplied.  A few patterns are
-    counted by built-in expressions, many by one walk over each text.
+    ``queries`` is a mapping, or pairs, of id and :class:`Query`.
     """
-    pairs = list(queries.items() if hasattr(queries, "items") else queries)
-    if not pairs:
-        raise ValueError("no queries given")
-    keys = [name for name in CORPUS_KEYS if name in corpus.columns]
-    if len(pairs) > FEW_PATTERNS and multi_match.available():
-        return _batch_by_automaton(corpus, keys, pairs)
-    return _batch_by_expressions(corpus, keys, pairs)
+    scored = score_batch(corpus, queries)
+    return scored.filter(F.col("count") >= F.col("min_matches")).drop("min_matches")
 
 
-def _batch_by_automaton(corpus, keys, pairs):
-    pages = corpus.select(*keys, "text")
-    id_type = T.LongType() if isinstance(pairs[0][0], int) else T.StringType()
-    schema = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            *(pages.schema[name] for name in keys),
-            T.StructField("count", T.LongType()),
-        ]
+def batch_stats(corpus: DataFrame, queries) -> DataFrame:
+    """Per query: the totals of search_stats; no best page if nothing is found.
+
+    Partial aggregation in every task: a query that matches everything costs
+    no more than one that matches little.
+    """
+    pairs = _pairs(queries)
+    scored = score_batch(corpus, pairs).select(
+        "query_id", "count", "title", "seq", (F.col("count") >= F.col("min_matches")).alias("hit")
+    )
+    # A row per query, so that those found nowhere are reported too.
+    absent = corpus.sparkSession.createDataFrame(
+        [(key, 0, None, None, False) for key, _ in pairs], scored.schema
+    )
+    return (
+        scored.unionAll(absent)
+        .groupBy("query_id")
+        .agg(
+            stat_ops.num_word_matches(),
+            F.count_if("hit").alias("num_page_matches"),
+            stat_ops.max_word_matches(),
+            stat_ops.best_page(),
+        )
     )
-    return pages.mapInArrow(multi_match.batch_counter(pairs, keys), schema)
 
 
-def _batch_by_expressions(corpus, keys, pairs):
-    hits = corpus.select(*keys, F.inline(_batch_counts(pairs)))
-    hits = hits.filter(F.col("count") >= F.col("min_matches"))
-    return hits.select("query_id", *keys, "count")
+def score_batch(corpus: DataFrame, queries) -> DataFrame:
+    """``(query_id, min_matches, <keys>, count)`` of every page and query that
+    occurs in it, or asks for no minimum.
+
+    All patterns travel with the plan: the corpus is neither joined nor
+    replicated, the text is read once and dropped before rows are multiplied.
+    A few patterns are counted by built-in expressions, many by one walk over
+    each text.
+    """
+    pairs = _pairs(queries)
+    keys = [name for name in CORPUS_KEYS if name in corpus.columns]
+    if len(pairs) > FEW_PATTERNS and multi_match.available():
+        return _batch_by_automaton(corpus, keys, pairs)
+    scored = corpus.select(*keys, F.inline(_batch_counts(pairs)))
+    return scored.select("query_id", "min_matches", *keys, "count")
 
 
 def collect_queries(queries: DataFrame):
@@ -138,18 +154,25 @@ def collect_queries(queries: DataFrame):
         yield row["query_id"], query
 
 
-def batch_stats(batch: DataFrame) -> DataFrame:
-    """Per query: matching pages, their occurrences, and the best page.
+def _pairs(queries):
+    pairs = list(queries.items() if hasattr(queries, "items") else queries)
+    if not pairs:
+        raise ValueError("no queries given")
+    return pairs
 
-    Partial aggregation in every task: a query that matches everything costs
-    no more than one that matches little.
-    """
-    return batch.groupBy("query_id").agg(
-        F.sum("count").alias("num_matches"),
-        F.count(F.lit(1)).alias("num_pages"),
-        F.max("count").alias("max_matches"),
-        stat_ops.best_page(),
+
+def _batch_by_automaton(corpus, keys, pairs):
+    pages = corpus.select(*keys, "text")
+    id_type = T.LongType() if isinstance(pairs[0][0], int) else T.StringType()
+    schema = T.StructType(
+        [
+            T.StructField("query_id", id_type),
+            T.StructField("min_matches", T.LongType()),
+            *(T.StructField(name, pages.schema[name].dataType) for name in keys),
+            T.StructField("count", T.LongType()),
+        ]
     )
+    return pages.mapInArrow(multi_match.batch_counter(pairs, keys), schema)
 
 
 def _batch_counts(pairs) -> Column:

@@ -670,7 +670,8 @@ counted as (
   from docs join asked on contains(text, pattern))"""
 
 
-def _batch(spark, folder):
+def _asked(spark, folder):
+    """Two queries for every benchmark item: its first word, whole and with a space."""
     words = table(spark, folder, "benchmark").selectExpr(
         "item_id", "regexp_extract(text, '[A-Za-z]+', 0) as word"
     )
@@ -678,23 +679,22 @@ def _batch(spark, folder):
         "stack(2, item_id * 2, word, true, item_id * 2 + 1, concat(word, ' '), false)"
         " as (query_id, pattern, whole_words)"
     )
-    asked = query_ops.normalise_query(asked)
-    return search.search_batch(documents(spark, folder), search.collect_queries(asked))
+    return list(search.collect_queries(query_ops.normalise_query(asked)))
 
 
 @register(f"{_BATCH} select * from counted where count >= 1")
 def search_batch(spark, folder):
-    """Two queries for every benchmark item: its first word, whole and with a space."""
-    return _batch(spark, folder)
+    return search.search_batch(documents(spark, folder), _asked(spark, folder))
 
 
 @register(
-    f"""{_BATCH} select query_id, sum(count)::bigint as num_matches, count(*) as num_pages,
-         max(count) as max_matches, arg_max(title, (count, seq)) as max_page_title
-       from counted where count >= 1 group by query_id"""
+    f"""{_BATCH} select query_id, coalesce(sum(count), 0)::bigint as num_word_matches,
+         count(*) filter (count >= 1) as num_page_matches, coalesce(max(count), 0) as max_word_matches,
+         arg_max(title, (count, seq)) filter (count >= 1) as max_page_title
+       from asked left join counted using (query_id) group by query_id"""
 )
 def search_batch_stats(spark, folder):
-    return search.batch_stats(_batch(spark, folder))
+    return search.batch_stats(documents(spark, folder), _asked(spark, folder))
 
 
 # A trailing underscore only keeps a function apart from the one it calls.

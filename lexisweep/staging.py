@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_folders = {}
+_staged = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,4 +41,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this application has staged; their readers are void."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = hadoop.Path(_staged.pop())
+        path.getFileSystem(settings).delete(path, True)

@@ -61,12 +61,23 @@ def test_batch_equals_single_searches(spark, docs, monkeypatch, few):
         for i, (pattern, whole) in enumerate((p, w) for p in PATTERNS for w in (False, True))
     }
     got = {}
-    for row in search.search_batch(docs, queries).collect():
+    for row in search.search_batch(docs, iter(queries.items())).collect():
         got.setdefault(row.query_id, set()).add((row.chunk_id, row.seq, row.title, row["count"]))
     for key, query in queries.items():
         assert got.get(key, set()) == {tuple(r) for r in search.search_hits(docs, query).collect()}, query
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_batch_totals_equal_single_totals(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_PATTERNS", few)
+    queries = {
+        "a": Query("the", True, 20), "b": Query("erer"), "c": Query("tion", min_matches=0), "d": Query("nowhere at all"),
+    }
+    got = {row.query_id: row[1:] for row in search.batch_stats(docs, queries).collect()}
+    assert got.pop("d") == (0, 0, 0, None)
+    assert got == {k: search.search_stats(docs, queries[k]).first()[:4] for k in got}
+
+
 def test_batch_paths_and_ids(spark, docs):
     few = search.search_batch(docs, {"a": Query("the")})
     assert "Python" not in plan(few) and few.schema["query_id"].dataType.simpleString() == "string"

@@ -14,7 +14,7 @@ from lexisweep.schema import DUMP_PAGE, ROWS_PER_CHUNK
 from lexisweep.sources.chunk_files import read_chunks, write_chunks
 from lexisweep.sources.dataset import OpenDataset, dataset_head, write_dataset
 from lexisweep.sources.dump import read_dump, write_dump
-from lexisweep.staging import shared_folder
+from lexisweep.staging import drop_staged, shared_folder, staged
 
 DUMP = """<mediawiki>
   <page><title>A</title><ns>0</ns><id>1</id><revision><id>11</id><timestamp>2020</timestamp>
@@ -195,6 +195,14 @@ def test_null_pages(spark):
     assert clean.drop_null_pages(pages).count() == 1
 
 
+def test_staged_tables(spark):
+    table = staged(spark.range(10).toDF("seq"), "numbers")
+    [folder] = {os.path.dirname(path.removeprefix("file://")) for path in table.inputFiles()}
+    assert table.count() == 10 and os.path.isdir(folder)
+    drop_staged(spark)
+    assert not os.path.exists(folder)
+
+
 def test_shared_folder_setting(spark, tmp_path):
     class Session:
         conf = {"spark.checkpoint.dir": f"{tmp_path}/"}
