@@ -10,13 +10,16 @@ from lexisweep.schema import CORPUS_KEYS
 def score_pages(corpus: DataFrame, pattern: str, whole_words: bool = False) -> DataFrame:
     """``(chunk_id, seq, title, count, bytes)``, with those keys the corpus has.
 
+    ``bytes`` is the stored size: the column of that name, else the text's own.
+
     The counts leave through a generator.  Catalyst does not push a later
     filter on ``count`` below it, which would count every text twice.
     """
     keys = [name for name in CORPUS_KEYS if name in corpus.columns]
+    stored = F.col("bytes") if "bytes" in corpus.columns else F.octet_length("text")
     scores = F.struct(
         match_count("text", pattern, whole_words).alias("count"),
-        F.octet_length("text").cast("bigint").alias("bytes"),
+        stored.cast("bigint").alias("bytes"),
     )
     return corpus.select(*keys, F.inline(F.array(scores)))
 

@@ -12,6 +12,7 @@ from lexisweep.operators.layout import (
     require_complete,
     scan_positions,
 )
+from lexisweep.sources.chunk_files import ChunkMetadata, read_chunks, write_chunks
 from lexisweep.sources.dump import read_dump
 
 
@@ -46,3 +47,23 @@ def rechunk(corpus: DataFrame, n_chunks: int = CHUNKS) -> DataFrame:
     """The corpus in ``n_chunks`` contiguous chunks of about equal bytes."""
     layout = rechunk_by_bytes(scan_positions(corpus), n_chunks)
     return assign_chunks(corpus, require_complete(layout))
+
+
+def prepare_files(
+    spark: SparkSession, dump_path: str, prefix: str, metadata: ChunkMetadata | None = None
+) -> None:
+    """A dump to chunk files of Snappy blocks, one per input partition.
+
+    Without a shuffle: each task writes the chunk it reads, even if no page of
+    it is kept.
+    """
+    corpus = prepare(spark, dump_path, compress=True)
+    n_chunks = corpus.rdd.getNumPartitions()
+    write_chunks(corpus, prefix, n_chunks, metadata, grouped=True)
+
+
+def rechunk_files(spark: SparkSession, source: str, target: str, n_chunks: int = CHUNKS) -> None:
+    """Chunk files to ``n_chunks`` chunk files of about equal bytes."""
+    corpus = read_chunks(spark, source).withColumn("bytes", F.octet_length("text"))
+    layout = require_complete(rechunk_by_bytes(scan_positions(corpus), n_chunks))
+    write_chunks(assign_chunks(corpus, layout), target, n_chunks, ChunkMetadata.of(source))

@@ -1,6 +1,7 @@
 """Search jobs: one query, or a table of queries, over a whole corpus."""
 
-from dataclasses import dataclass
+import time
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from lexisweep.functions import multi_match
 from lexisweep.functions.match import match_regex, self_overlap_shift
 from lexisweep.operators import hits as hit_ops
 from lexisweep.operators import stats as stat_ops
-from lexisweep.operators.queries import Query
+from lexisweep.operators.queries import DEFAULTS, WIKIS, Query
+from lexisweep.operators.runlog import run_metrics
 from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.schema import CORPUS_KEYS
 from lexisweep.staging import staged
@@ -22,6 +24,8 @@ FEW_PATTERNS = 6
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:
     if "wiki" in corpus.columns:
         corpus = corpus.filter(F.col("wiki") == query.wiki)
+    elif query.wiki not in WIKIS:
+        raise ValueError(f"unknown wiki language {query.wiki}")
     return score_pages(corpus, query.pattern, query.whole_words)
 
 
@@ -57,10 +61,14 @@ class Search:
     scored: DataFrame
     query: Query
     capacity: int | None
+    time_us: int
 
     @classmethod
     def run(cls, corpus: DataFrame, query: Query, capacity: int | None = None) -> "Search":
-        return cls(staged(_scored(corpus, query), "scored"), query, capacity)
+        start = time.perf_counter()
+        scored = staged(_scored(corpus, query), "scored")
+        elapsed = time.perf_counter() - start
+        return cls(scored, query, capacity, round(elapsed * 1e6))
 
     def hits(self) -> DataFrame:
         return filter_min_matches(self.scored, self.query.min_matches).drop("bytes")
@@ -90,6 +98,36 @@ class Search:
     def response(self) -> DataFrame:
         return hit_ops.respond(self.scored, self.query.min_matches, self.capacity)
 
+    def document(self) -> DataFrame:
+        """The whole answer as one nested row, for ``to_json``: the query, its
+        stats, and the (title, count) lists of the bands."""
+        echo = {"mode": DEFAULTS["mode"]} | asdict(self.query)
+        query = F.struct(*(F.lit(value).alias(name) for name, value in echo.items()))
+        run = self.stats().withColumn("time_us", F.lit(self.time_us).cast("bigint"))
+        stats = run_metrics(run).select(
+            F.struct(
+                "num_word_matches",
+                "num_page_matches",
+                "num_result_records",
+                "input_size",
+                "time_taken_ms",
+                "bandwidth",
+            ).alias("stats")
+        )
+        ranked = F.sort_array(F.collect_list(F.struct("rank", "band", "title", "count")))
+        shown = self.response().agg(ranked.alias("shown"))  # at most 100 rows
+
+        def band(name):
+            chosen = F.filter(F.col("shown"), lambda h: h["band"] == name)
+            return F.transform(chosen, lambda h: F.struct(h["title"], h["count"]))
+
+        bands = shown.select(
+            F.get(band("top"), 0).alias("top_result"),
+            band("top_ten").alias("top_ten_results"),
+            band("other").alias("other_results"),
+        )
+        return bands.select(query.alias("query"), stats.scalar().alias("stats"), "*")
+
 
 def search_batch(corpus: DataFrame, queries) -> DataFrame:
     """``(query_id, <keys>, count)`` of every matching page of every query.

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from lexisweep.functions.codec import decode_text
 from lexisweep.schema import ROWS_PER_CHUNK
 
 FORMAT = "chunk_files"
@@ -43,26 +44,58 @@ def read_chunks(spark: SparkSession, prefix: str) -> DataFrame:
     return spark.read.format(FORMAT).load(prefix)
 
 
+def read_chunk_corpus(spark: SparkSession, prefix: str) -> DataFrame:
+    """Chunk files of Snappy blocks as a corpus to search: the text decoded,
+    ``bytes`` the size of the block."""
+    return read_chunks(spark, prefix).select(
+        "chunk_id",
+        "seq",
+        "title",
+        decode_text("text").alias("text"),
+        F.octet_length("text").cast("bigint").alias("bytes"),
+    )
+
+
+@dataclass(frozen=True)
+class ChunkMetadata:
+    """Key-value metadata in the schema of a chunk file: of the whole, and of
+    the text field."""
+
+    schema: dict[str, str]
+    text: dict[str, str]
+
+    @classmethod
+    def of(cls, prefix: str) -> "ChunkMetadata":
+        """As found in the first file of a set."""
+        files, path = fs.FileSystem.from_uri(f"{prefix}-0{SUFFIX}")
+        with files.open_input_file(path) as source:
+            schema = pa.ipc.open_file(source).schema
+        return cls(_decoded(schema.metadata), _decoded(schema.field("text").metadata))
+
+
 def write_chunks(
     chunks: DataFrame,
     prefix: str,
     n_chunks: int | None = None,
-    schema_metadata: dict[str, str] | None = None,
-    text_metadata: dict[str, str] | None = None,
+    metadata: ChunkMetadata | None = None,
+    grouped: bool = False,
 ) -> None:
     """Write ``(chunk_id, seq, title, text)``, one file per chunk in ``seq`` order.
 
     A chunk without rows below ``n_chunks`` (or below the highest chunk) gets a
-    file of no rows.  The metadata go into the schema of every file.
+    file of no rows.  ``grouped`` says that every chunk lies in one partition
+    already, in order, and saves the shuffle.
     """
     chunks.sparkSession.dataSource.register(ChunkFiles)
-    options = {f"schema.{k}": v for k, v in (schema_metadata or {}).items()}
-    options |= {f"text.{k}": v for k, v in (text_metadata or {}).items()}
-    tasks = F.col("chunk_id")
-    placed = chunks.repartition(n_chunks, tasks) if n_chunks else chunks.repartition(tasks)
+    metadata = metadata or ChunkMetadata({}, {})
+    options = {f"schema.{k}": v for k, v in metadata.schema.items()}
+    options |= {f"text.{k}": v for k, v in metadata.text.items()}
+    if not grouped:
+        tasks = F.col("chunk_id")
+        chunks = chunks.repartition(n_chunks, tasks) if n_chunks else chunks.repartition(tasks)
+        chunks = chunks.sortWithinPartitions("chunk_id", "seq")
     (
-        placed.sortWithinPartitions("chunk_id", "seq")
-        .select("chunk_id", "title", F.col("text").cast("binary"))
+        chunks.select("chunk_id", "title", F.col("text").cast("binary"))
         .write.format(FORMAT)
         .options(**options)
         .option("n_chunks", n_chunks or 0)
@@ -207,5 +240,9 @@ def _existing(prefix):
     return sorted(int(m[1]) for info in listing if (m := pattern.fullmatch(info.base_name)))
 
 
+def _decoded(metadata):
+    return {key.decode(): value.decode() for key, value in (metadata or {}).items()}
+
+
 def _chosen(options, start):
     return {k[len(start):]: v for k, v in options.items() if k.startswith(start)} or None

@@ -52,6 +52,28 @@ def test_views_of_one_run(spark, data):
         assert row.all_known is (capacity is None)
 
 
+@pytest.mark.parametrize("capacity", [4, None])
+def test_document(spark, data, capacity):
+    run = search.Search.run(registered.web_pages(spark, data), Query("the", True, 2), capacity)
+    row = run.document().first()
+    assert row.query.asDict() == {
+        "mode": 0, "pattern": "the", "whole_words": True, "min_matches": 2, "wiki": "en",
+    }
+    totals = run.stats().first()
+    assert row.stats.num_page_matches == totals.num_page_matches
+    assert row.stats.num_result_records == totals.num_result_records
+    assert row.stats.time_taken_ms == run.time_us // 1000 > 0
+    assert row.stats.bandwidth.endswith(" GB/s")
+    shown = run.response().orderBy("rank").collect()
+    of_band = {b: [(r.title, r["count"]) for r in shown if r.band == b] for b in ("top", "top_ten", "other")}
+    assert [tuple(row.top_result)] == of_band["top"]
+    assert [tuple(r) for r in row.top_ten_results] == of_band["top_ten"]
+    assert [tuple(r) for r in row.other_results] == of_band["other"]
+    empty = search.Search.run(registered.web_pages(spark, data), Query("nowhere at all"), capacity)
+    nothing = empty.document().first()
+    assert nothing.top_result is None and nothing.other_results == []
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_batch_equals_single_searches(spark, docs, monkeypatch, few):
     monkeypatch.setattr(search, "FEW_PATTERNS", few)
@@ -96,6 +118,8 @@ def test_language_of_the_corpus(spark, data):
     english = search.search_hits(corpus, Query("tion")).count()
     french = search.search_hits(corpus, Query("tion", wiki="fr")).count()
     assert 0 < french < english < every
+    with pytest.raises(ValueError):
+        search.search_hits(corpus.drop("wiki"), Query("tion", wiki="fr"))
 
 
 def test_one_scan_and_one_count_per_text(spark, docs):

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from lexisweep.functions.codec import decode_text, encode_text
 from lexisweep.operators import clean
-from lexisweep.plans.prepare import clean_pages, prepare
+from lexisweep.operators.queries import Query
+from lexisweep.plans.prepare import clean_pages, prepare, prepare_files, rechunk_files
+from lexisweep.plans.search import search_stats
 from lexisweep.schema import DUMP_PAGE, ROWS_PER_CHUNK
-from lexisweep.sources.chunk_files import read_chunks, write_chunks
+from lexisweep.sources.chunk_files import (
+    ChunkMetadata,
+    read_chunk_corpus,
+    read_chunks,
+    write_chunks,
+)
 from lexisweep.sources.dataset import OpenDataset, dataset_head, write_dataset
 from lexisweep.sources.dump import read_dump, write_dump
 from lexisweep.staging import drop_staged, shared_folder, staged
@@ -136,7 +143,9 @@ def chunk_frame(spark, ids):
 def test_chunk_files(spark, tmp_path):
     prefix = str(tmp_path / "set")
     frame = chunk_frame(spark, [0, 0, 0, 1, 3, 3])
-    write_chunks(frame.repartition(4), prefix, 5, {"mode": "read"}, {"width": "8"})
+    metadata = ChunkMetadata({"mode": "read"}, {"width": "8"})
+    write_chunks(frame.repartition(4), prefix, 5, metadata)
+    assert ChunkMetadata.of(prefix) == metadata
     assert sorted(os.listdir(tmp_path)) == [f"set-{i}.rb" for i in range(5)]
     with pa.OSFile(f"{prefix}-3.rb") as source:
         file = pa.ipc.open_file(source)
@@ -168,6 +177,32 @@ def test_chunk_files_replace_a_longer_set(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["set-0.rb", "set-1.rb"]
 
 
+def test_search_in_chunk_files(spark, tmp_path):
+    prefix = str(tmp_path / "set")
+    rows = [(0, i, f"title {'abc'[i]}", bytes.fromhex(block)) for i, block in enumerate(BLOCKS.values())]
+    write_chunks(spark.createDataFrame(rows, "chunk_id int, seq bigint, title string, text binary"), prefix)
+    got = search_stats(read_chunk_corpus(spark, prefix), Query("line")).first()
+    assert tuple(got) == (3, 3, 1, "title c", 94)
+
+
+def test_dump_to_files_to_even_files(spark, dump_path, tmp_path):
+    raw, even = str(tmp_path / "raw"), str(tmp_path / "even")
+    metadata = ChunkMetadata({"mode": "read"}, {"width": "8"})
+    prepare_files(spark, dump_path, raw, metadata)
+    before = read_chunk_corpus(spark, raw).orderBy("seq").collect()
+    assert [(r.title, r.text) for r in before] == list(CLEANED.items())
+    rechunk_files(spark, raw, even, 2)
+    assert ChunkMetadata.of(even) == metadata
+    assert len([name for name in os.listdir(tmp_path) if name.startswith("even-")]) == 2
+    after = read_chunk_corpus(spark, even).orderBy("seq").collect()
+    assert [(r.title, r.text) for r in after] == list(CLEANED.items())
+    total, seen, want = sum(r.bytes for r in before), 0, []
+    for row in before:
+        want.append(sum(seen >= total * (j + 1) // 2 for j in range(2)))
+        seen += row.bytes
+    assert [r.chunk_id for r in after] == want
+
+
 def test_dataset_head(spark):
     corpus = spark.range(0, 500, 1, 9).selectExpr("(id * 37) % 500 as seq", "'x' as text")
     assert sorted(r.seq for r in dataset_head(corpus, 12).collect()) == list(range(12))
