@@ -30,6 +30,10 @@ def _decompress(block):
     return data.decode("utf-8")
 
 
+def decode_blocks(blocks: pa.Array) -> pa.Array:
+    return pa.array([_decompress(block.as_py()) for block in blocks], pa.string())
+
+
 @F.arrow_udf(BinaryType())
 def encode_text(text: pa.Array) -> pa.Array:
     """Text to the raw Snappy block of its UTF-8 bytes."""
@@ -39,4 +43,4 @@ def encode_text(text: pa.Array) -> pa.Array:
 @F.arrow_udf(StringType())
 def decode_text(block: pa.Array) -> pa.Array:
     """Raw Snappy block to text; a corrupt block fails the task."""
-    return pa.array([_decompress(value.as_py()) for value in block], pa.string())
+    return decode_blocks(block)

@@ -31,11 +31,13 @@ def read_dump(spark: SparkSession, path: str, columns=None) -> DataFrame:
     )
     options = PARSE_OPTIONS | {"columnNameOfCorruptRecord": _MALFORMED}
     end_tag = f"</{ROW_TAG}>"
-    start = F.regexp_extract("value", rf"(?s)<{ROW_TAG}[\s>].*", 0)
-    records = spark.read.text(path, lineSep=end_tag).select(start.alias("page"))
-    page = F.from_xml(F.concat("page", F.lit(end_tag)), schema, options)
+    start_tag = rf"<{ROW_TAG}[\s>]"
+    records = spark.read.text(path, lineSep=end_tag)
+    records = records.filter(F.col("value").rlike(start_tag))  # not so after the last page
+    from_start = F.regexp_extract("value", f"(?s){start_tag}.*", 0)
+    page = F.from_xml(F.concat(from_start, F.lit(end_tag)), schema, options)
     # Through a generator, so that the test below does not parse a second time.
-    parsed = records.filter(F.col("page") != "").select(F.inline(F.array(page)))
+    parsed = records.select(F.inline(F.array(page)))
     return parsed.filter(F.col(_MALFORMED).isNull()).drop(_MALFORMED)
 
 
