@@ -2,6 +2,8 @@
 
 import time
 from dataclasses import asdict, dataclass
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from lexisweep.staging import staged
 # Up to here a loop of built-in expressions is the faster way to count a batch.
 FEW_PATTERNS = 6
 
+# Patterns that one scan carries to the tasks; larger batches take more scans.
+PATTERNS_PER_SCAN = 20_000
+
 
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:
     if "wiki" in corpus.columns:
@@ -173,12 +178,9 @@ def score_batch(corpus: DataFrame, queries) -> DataFrame:
     A few patterns are counted by built-in expressions, many by one walk over
     each text.
     """
-    pairs = _pairs(queries)
     keys = [name for name in CORPUS_KEYS if name in corpus.columns]
-    if len(pairs) > FEW_PATTERNS and multi_match.available():
-        return _batch_by_automaton(corpus, keys, pairs)
-    scored = corpus.select(*keys, F.inline(_batch_counts(pairs)))
-    return scored.select("query_id", "min_matches", *keys, "count")
+    groups = batched(_pairs(queries), PATTERNS_PER_SCAN)
+    return reduce(DataFrame.unionAll, (_score_group(corpus, keys, group) for group in groups))
 
 
 def collect_queries(queries: DataFrame):
@@ -199,6 +201,13 @@ def _pairs(queries):
     return pairs
 
 
+def _score_group(corpus, keys, pairs):
+    if len(pairs) > FEW_PATTERNS and multi_match.available():
+        return _batch_by_automaton(corpus, keys, pairs)
+    scored = corpus.select(*keys, F.inline(_batch_counts(pairs)))
+    return scored.select("query_id", "min_matches", *keys, "count")
+
+
 def _batch_by_automaton(corpus, keys, pairs):
     pages = corpus.select(*keys, "text")
     id_type = T.LongType() if isinstance(pairs[0][0], int) else T.StringType()

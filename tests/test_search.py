@@ -110,6 +110,14 @@ def test_batch_paths_and_ids(spark, docs):
         search.search_batch(docs, [])
 
 
+def test_batch_in_several_scans(spark, docs, monkeypatch):
+    queries = {i: Query(pattern) for i, pattern in enumerate(PATTERNS)}
+    whole = sorted(search.search_batch(docs, queries).collect())
+    monkeypatch.setattr(search, "PATTERNS_PER_SCAN", 4)
+    parts = search.search_batch(docs, queries)
+    assert plan(parts).count("FileScan") == 3 and sorted(parts.collect()) == whole
+
+
 def test_language_of_the_corpus(spark, data):
     corpus = spark.read.parquet(f"{data}/documents.parquet").selectExpr(
         "doc_id as seq", "source as title", "text", "lang as wiki"
