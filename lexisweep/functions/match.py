@@ -5,6 +5,9 @@ occurrences.  All of it is built-in expressions, so the text never leaves the
 JVM.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,14 +27,14 @@ def quote_pattern(pattern: str) -> str:
     )
 
 
-def self_overlap_shift(pattern: str) -> int:
-    """The least distance between two occurrences of ``pattern`` in any text.
+def overlap_shifts(pattern: str) -> list[int]:
+    """The distances at which two occurrences of ``pattern`` can overlap.
 
-    It is the length of the pattern unless a proper prefix is also a suffix:
-    3 for ``test``, 1 for ``aa``.
+    There is one for each proper prefix that is also a suffix: 3 for ``test``,
+    1 and 2 for ``aaa``, none for ``tion``.
     """
     size = len(pattern)
-    return next(s for s in range(1, size + 1) if pattern[s:] == pattern[: size - s])
+    return [s for s in range(1, size) if pattern[s:] == pattern[: size - s]]
 
 
 def match_regex(pattern: str, whole_words: bool = False) -> str:
@@ -43,7 +46,7 @@ def match_regex(pattern: str, whole_words: bool = False) -> str:
     literal search until a candidate is found.
     """
     check_pattern(pattern)
-    shift = self_overlap_shift(pattern)
+    shift = min(overlap_shifts(pattern), default=len(pattern))
     head, tail = quote_pattern(pattern[:shift]), quote_pattern(pattern[shift:])
     if not whole_words:
         return f"{head}(?={tail})" if tail else head
@@ -64,17 +67,15 @@ def count_substring(text, pattern: str) -> Column:
     """Number of positions of ``text`` at which ``pattern`` starts."""
     check_pattern(pattern)
     text = _column(text)
-    if self_overlap_shift(pattern) == len(pattern):
-        # Occurrences cannot overlap: removing them all shortens the text by
-        # one pattern each.  No decoding to characters, no regex.
-        removed = F.octet_length(text) - F.octet_length(
-            F.replace(text, F.lit(pattern), F.lit(""))
-        )
-        size = F.lit(len(pattern.encode("utf-8")))
-        return _where_contained(text, pattern, F.call_function("div", removed, size))
-    return _where_contained(
-        text, pattern, F.regexp_count(text, F.lit(match_regex(pattern)))
-    )
+    # Removing all occurrences that do not overlap shortens the text by one
+    # pattern each.  No decoding to characters, no regular expression.
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(pattern), F.lit("")))
+    count = F.call_function("div", removed, F.lit(len(pattern.encode("utf-8"))))
+    shifts = overlap_shifts(pattern)
+    if shifts:
+        by_regex = F.regexp_count(text, F.lit(match_regex(pattern)))
+        count = F.when(_has_overlap(text, pattern, shifts), by_regex).otherwise(count)
+    return _where_contained(text, pattern, count)
 
 
 def count_whole_word(text, pattern: str) -> Column:
@@ -96,6 +97,16 @@ def is_word_char(char) -> Column:
     return ~_column(char).rlike(_NOT_WORD)
 
 
+def _has_overlap(text: Column, pattern: str, shifts: list[int]) -> Column:
+    """Whether two occurrences overlap; rare in prose, and cheap to find out.
+
+    With many possible shifts it is cheaper to assume so.
+    """
+    if len(shifts) > 2:
+        return F.lit(True)
+    return reduce(or_, (F.contains(text, F.lit(pattern[:s] + pattern)) for s in shifts))
+
+
 def _where_contained(text: Column, pattern: str, count: Column) -> Column:
     # The byte search is far cheaper than any count, and most rows fail it.
     found = F.contains(text, F.lit(pattern))

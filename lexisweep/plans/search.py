@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexisweep.functions import multi_match
-from lexisweep.functions.match import match_regex, self_overlap_shift
+from lexisweep.functions.match import match_regex, overlap_shifts
 from lexisweep.operators import hits as hit_ops
 from lexisweep.operators import stats as stat_ops
 from lexisweep.operators.queries import DEFAULTS, WIKIS, Query
@@ -251,7 +251,7 @@ def _batch_counts(pairs) -> Column:
 
 
 def _pattern_literal(key, query):
-    plain = not query.whole_words and self_overlap_shift(query.pattern) == len(query.pattern)
+    plain = not query.whole_words and not overlap_shifts(query.pattern)
     regex = None if plain else match_regex(query.pattern, query.whole_words)
     identity = F.lit(key).cast("bigint") if isinstance(key, int) else F.lit(key)
     return F.struct(

@@ -11,7 +11,7 @@ from lexisweep.functions.match import (
     is_word_char,
     match_count,
     match_regex,
-    self_overlap_shift,
+    overlap_shifts,
 )
 
 WORD = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -125,9 +125,9 @@ def test_bad_patterns():
             build("text", None)
 
 
-def test_overlap_shift():
-    shifts = {"test": 3, "aa": 1, "abab": 2, "tion": 4, "a": 1, "abcab": 3}
-    assert {p: self_overlap_shift(p) for p in shifts} == shifts
+def test_overlap_shifts():
+    shifts = {"test": [3], "aaa": [1, 2], "abab": [2], "tion": [], "a": [], "abcab": [3]}
+    assert {p: overlap_shifts(p) for p in shifts} == shifts
     assert match_regex("tion") == "tion"
     assert match_regex("test") == "tes(?=t)"
 
