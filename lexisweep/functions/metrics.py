@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 
 def bandwidth(input_size, time_us) -> Column:
-    """``"1.23 GB/s"``: decimal gigabytes per second."""
-    ratio = _exact(input_size) / (_exact(time_us) * F.lit(1000).cast("decimal(4,0)"))
+    """``"1.23 GB/s"``: decimal gigabytes per second; null for no time at all."""
+    per_second = _exact(time_us) * F.lit(1000).cast("decimal(4,0)")
+    ratio = F.try_divide(_exact(input_size), per_second)
     return F.concat(F.round(ratio, 2).cast("string"), F.lit(" GB/s"))
 
 
@@ -16,8 +17,8 @@ def time_taken_ms(time_us) -> Column:
 
 
 def time_ratio(slow_us, fast_us) -> Column:
-    """How many times faster, as text with two decimals."""
-    return F.round(_exact(slow_us) / _exact(fast_us), 2).cast("string")
+    """How many times faster, as text with two decimals; null for no time at all."""
+    return F.round(F.try_divide(_exact(slow_us), _exact(fast_us)), 2).cast("string")
 
 
 def _exact(name) -> Column:

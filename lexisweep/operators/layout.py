@@ -52,13 +52,10 @@ def scan_positions(corpus: DataFrame, blocks: int | None = None) -> ScanPosition
     """
     spark = corpus.sparkSession
     blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if "bytes" in corpus.columns:
-        sizes = corpus.select("seq", F.col("bytes").cast("bigint"))
-    else:
-        # Range partitioning samples its input, so take the sizes off the text
-        # first: one scan of the text instead of two.
-        size = F.octet_length("text").cast("bigint")
-        sizes = staged(corpus.select("seq", size.alias("bytes")), "sizes")
+    stored = F.col("bytes") if "bytes" in corpus.columns else F.octet_length("text")
+    # Range partitioning samples its input, so take the sizes off the corpus
+    # first: it is scanned, or derived, once instead of twice.
+    sizes = staged(corpus.select("seq", stored.cast("bigint").alias("bytes")), "sizes")
     table = staged(
         sizes.repartitionByRange(blocks, "seq").withColumn("block", F.spark_partition_id()),
         "blocks",

@@ -13,6 +13,7 @@ from lexisweep.operators.queries import Query
 from lexisweep.plans.prepare import clean_pages, prepare, prepare_files, rechunk_files
 from lexisweep.plans.search import search_stats
 from lexisweep.schema import DUMP_PAGE, ROWS_PER_CHUNK
+from lexisweep.sources import chunk_files
 from lexisweep.sources.chunk_files import (
     ChunkMetadata,
     read_chunk_corpus,
@@ -161,6 +162,36 @@ def test_chunk_files(spark, tmp_path):
     assert [r.seq % ROWS_PER_CHUNK for r in back] == [0, 1, 2, 0, 0, 1]
 
 
+def writer_input():
+    return pa.RecordBatch.from_pydict(
+        {"chunk_id": pa.array([0, 0, 2], pa.int32()), "title": ["a", "b", "c"], "text": [b"1", b"22", b"333"]}
+    )
+
+
+def test_only_committed_attempts_count(tmp_path):
+    writer = chunk_files._Writer({"path": f"{tmp_path}/set", "n_chunks": "4"})
+    lost = writer.write(iter([writer_input()]))
+    kept = writer.write(iter([writer_input().slice(0, 1), writer_input().slice(1)]))
+    nothing = writer.write(iter([]))
+    writer.commit([kept, nothing, None])
+    assert lost.chunks != kept.chunks
+    assert sorted(os.listdir(tmp_path)) == [f"set-{i}.rb" for i in range(4)]
+    rows = [pa.ipc.open_file(pa.OSFile(f"{tmp_path}/set-{i}.rb")).get_batch(0).num_rows for i in range(4)]
+    assert rows == [2, 0, 1, 0]
+
+
+def test_an_aborted_write_leaves_nothing(tmp_path):
+    writer = chunk_files._Writer({"path": f"{tmp_path}/set"})
+    writer.abort([writer.write(iter([writer_input()])), None])
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_chunk_too_large_fails_early(tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk_files, "MAX_TEXT", 2)
+    with pytest.raises(ValueError, match="2 GiB"):
+        chunk_files._Writer({"path": f"{tmp_path}/set"}).write(iter([writer_input()]))
+
+
 def test_chunk_files_stop_at_a_gap(spark, tmp_path):
     prefix = str(tmp_path / "set")
     write_chunks(chunk_frame(spark, [0, 1, 2, 3]), prefix)
