@@ -12,7 +12,7 @@ CAPACITY = 256
 
 def num_word_matches() -> Column:
     """Occurrences in all pages, also those below the minimum."""
-    return F.sum("count").alias("num_word_matches")
+    return _or_zero(F.sum("count")).alias("num_word_matches")
 
 
 def num_page_matches(min_matches: int) -> Column:
@@ -20,7 +20,7 @@ def num_page_matches(min_matches: int) -> Column:
 
 
 def max_word_matches() -> Column:
-    return F.max("count").alias("max_word_matches")
+    return _or_zero(F.max("count")).alias("max_word_matches")
 
 
 def best_page() -> Column:
@@ -30,7 +30,7 @@ def best_page() -> Column:
 
 def input_size() -> Column:
     """Bytes scanned: the stored text and its offset."""
-    return F.sum(F.col("bytes") + F.lit(OFFSET_BYTES)).alias("input_size")
+    return _or_zero(F.sum(F.col("bytes") + F.lit(OFFSET_BYTES))).alias("input_size")
 
 
 def search_stats(scored: DataFrame, min_matches: int = 1) -> DataFrame:
@@ -54,18 +54,23 @@ def merge_stats(partials: DataFrame) -> DataFrame:
     """One row of totals from those per chunk; of equal best pages, the last."""
     last_best = F.struct("max_word_matches", "chunk_id")
     return partials.agg(
-        F.sum("num_word_matches").alias("num_word_matches"),
-        F.sum("num_page_matches").alias("num_page_matches"),
-        F.max("max_word_matches").alias("max_word_matches"),
+        _or_zero(F.sum("num_word_matches")).alias("num_word_matches"),
+        _or_zero(F.sum("num_page_matches")).alias("num_page_matches"),
+        _or_zero(F.max("max_word_matches")).alias("max_word_matches"),
         F.max_by("max_page_title", last_best).alias("max_page_title"),
-        F.sum("input_size").alias("input_size"),
+        _or_zero(F.sum("input_size")).alias("input_size"),
     )
 
 
 def all_known(partials: DataFrame) -> DataFrame:
     """Whether no chunk has more matching pages than stored hits."""
     stored = F.col("num_records") >= F.col("num_page_matches")
-    return partials.agg(F.bool_and(stored).alias("all_known"))
+    return partials.agg(F.coalesce(F.bool_and(stored), F.lit(True)).alias("all_known"))
+
+
+def _or_zero(total: Column) -> Column:
+    """Totals over no pages at all are 0."""
+    return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
 def _totals(min_matches):

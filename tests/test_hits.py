@@ -102,7 +102,10 @@ def test_no_pages(spark):
     scored = spark.createDataFrame([], SCHEMA)
     assert hits.respond(scored, 1, 4).count() == 0
     assert hits.respond(scored, 1, None).count() == 0
-    assert stats.search_stats(scored).first().num_page_matches == 0
+    partials = stats.partial_stats(scored)
+    assert tuple(stats.search_stats(scored).first()) == (0, 0, 0, None, 0)
+    assert tuple(stats.merge_stats(partials).first()) == (0, 0, 0, None, 0)
+    assert stats.all_known(partials).first()[0] is True
 
 
 def test_first_rows_of_a_group_spread_over_all_tasks(spark):
