@@ -11,6 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as contract  # noqa: E402
+from lexisweep.registered import ORACLES, QUERIES  # noqa: E402
 
 TABLES = """region nation customer supplier part orders lineitem events documents
 embeddings pages benchmark labels conversations""".split()
@@ -33,11 +34,16 @@ def comparable(columns, rows):
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_all_are_in_the_contract():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLES.items() <= contract.oracle_sql().items()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, data, sql):
-    df = contract.queries()[name](spark, data)
+    df = QUERIES[name](spark, data)
     got = comparable(df.columns, df.collect())
-    cursor = sql.execute(contract.oracle_sql()[name])
+    cursor = sql.execute(ORACLES[name])
     columns = [column[0] for column in cursor.description]
     want = comparable(columns, cursor.fetchall())
     assert sorted(df.columns) == sorted(columns)
