@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe
+from lexisweep.llm import bpe, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,9 @@ def op2_bpe(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register()
+def op6_sharding(spark, folder):
+    """All documents in 8 shards of nearly equal bytes."""
+    return sharding.shard_by_bytes(table(spark, folder, "documents"), 8)
