@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, sharding
+from lexisweep.llm import bpe, packing, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +45,10 @@ def op2_bpe(spark, folder):
 def op6_sharding(spark, folder):
     """All documents in 8 shards of nearly equal bytes."""
     return sharding.shard_by_bytes(table(spark, folder, "documents"), 8)
+
+
+@register()
+def op9_packing(spark, folder):
+    """Every document's ids, packed into sequences of 2048."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, folder, "documents"), path, 2048)
