@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, packing, sharding
+from lexisweep.llm import bpe, packing, secrets, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -52,3 +52,11 @@ def op9_packing(spark, folder):
     """Every document's ids, packed into sequences of 2048."""
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, folder, "documents"), path, 2048)
+
+
+@register()
+def op5_secrets(spark, folder):
+    """Secret spans of every document; owners are sources."""
+    docs = table(spark, folder, "documents")
+    repository = F.concat_ws("/", "source", "lang")
+    return secrets.find_secrets(docs, F.col("source"), repository)
