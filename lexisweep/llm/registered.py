@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, packing, secrets, sharding
+from lexisweep.llm import bpe, neardup, packing, secrets, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -60,3 +60,10 @@ def op5_secrets(spark, folder):
     docs = table(spark, folder, "documents")
     repository = F.concat_ws("/", "source", "lang")
     return secrets.find_secrets(docs, F.col("source"), repository)
+
+
+@register()
+def op8_neardup(spark, folder):
+    """Near-duplicate classes of all documents at 85 % of 5-word shingles."""
+    docs = table(spark, folder, "documents")
+    return neardup.near_duplicates(docs, 85).drop("text_digest")

@@ -1,0 +1,115 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy
+import pytest
+
+from lexisweep.llm import neardup, registered
+from lexisweep.llm.components import components
+from lexisweep.llm.shingles import Forest, linked, overlaps, shingle_set
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def expected(rows, percent=85):
+    """rows: (doc_id, text), ids not null."""
+    sets = [plain_set(t) for _, t in rows]
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            holders[x].append(k)
+    forest = Forest(len(rows))
+    for k, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for other in holders[x]:
+                shared[other] += 1
+        for other, both in shared.items():
+            if 100 * both >= percent * (len(s) + len(sets[other]) - both):
+                forest.join(k, other)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        root = forest.root(k)
+        least[root] = min(i, least.get(root, i))
+    return sorted(
+        (i, len(sets[k]), least[forest.root(k)], i == least[forest.root(k)])
+        for k, (i, _) in enumerate(rows)
+    )
+
+
+def test_sets():
+    for text in ["", " \n", "a b", "A b c d e f", "é É x\x0by z w", "x " * 3000, None, "a b c d e f g"]:
+        assert len(shingle_set(text)) == len(plain_set(text))
+    assert (shingle_set("The CAT sat on a mat") == shingle_set(" the cat\tSAT on a mat ")).all()
+    assert len(numpy.intersect1d(shingle_set("a b c"), shingle_set("a b"))) == 0
+    sets = [shingle_set(t) for t in ("a b c d e f g h", "a b c d e f g i", "q")]
+    assert overlaps(sets, sets).tolist() == [[4, 3, 0], [3, 4, 0], [0, 0, 1]]
+    assert linked(sets, sets, 60).tolist() == [[1, 1, 0], [1, 1, 0], [0, 0, 1]]
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)]
+    edges += [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    forest = Forest(400)
+    for a, b in edges:
+        forest.join(a, b)
+    out = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert sorted(map(tuple, out)) == sorted((x, forest.root(x)) for x in nodes)
+
+
+def corpus(copies):
+    """Chains of edits, a large group of near copies, exact copies, and edges."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows, i = [], 10
+    base = [word() for _ in range(120)]
+    for k in range(copies):
+        text = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i := i + 1, " ".join(text)))
+    chain = [word() for _ in range(100)]
+    for k in range(8):
+        rows.append((i := i + 1, " ".join(chain)))
+        chain = chain[1:] + [word()]
+    rows += [((i := i + 1), " ".join(word() for _ in range(60))) for _ in range(40)]
+    rows += [(i + 1, ""), (i + 2, None), (i + 3, " \t"), (i + 4, "a b"), (i + 5, "A  b"), (i + 6, "w " * 60_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = corpus(60)
+    rows += rows[:5]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, class int, digest string")
+    out = neardup.near_duplicates(df).drop("text_digest").collect()
+    assert sorted(map(tuple, out)) == expected(rows)
+    assert len({r.component_id for r in out}) > 5
+
+
+def test_empty_and_null_ids(spark):
+    schema = "doc_id long, text string"
+    assert neardup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    rows = [(None, "a b c"), (3, "a b c"), (None, "z"), (None, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in out)
+    assert got == [("3", 1, "3", True), ("None", 0, "None", True), ("None", 1, "3", False), ("None", 1, "None", True)]
+
+
+def test_query(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    out = registered.QUERIES["op8_neardup"](spark, data)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted(map(tuple, out.collect())) == expected([tuple(r) for r in rows])
