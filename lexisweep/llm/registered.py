@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, neardup, packing, secrets, sharding
+from lexisweep.llm import bpe, neardup, packing, repeats, secrets, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -67,3 +67,10 @@ def op8_neardup(spark, folder):
     """Near-duplicate classes of all documents at 85 % of 5-word shingles."""
     docs = table(spark, folder, "documents")
     return neardup.near_duplicates(docs, 85).drop("text_digest")
+
+
+@register()
+def op10_repeats(spark, folder):
+    """All documents without the passages that stand elsewhere first."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs)
