@@ -6,7 +6,7 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, neardup, packing, repeats, secrets, sharding
+from lexisweep.llm import bpe, neardup, packing, quality, repeats, secrets, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -74,3 +74,9 @@ def op10_repeats(spark, folder):
     """All documents without the passages that stand elsewhere first."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs)
+
+
+@register()
+def op3_quality(spark, folder):
+    """Quality scores of all documents, from weak labels."""
+    return quality.classify(table(spark, folder, "documents"))
