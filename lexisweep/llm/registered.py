@@ -6,7 +6,16 @@ Each takes ``(spark, folder)`` and covers its whole table.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexisweep.llm import bpe, neardup, packing, quality, repeats, secrets, sharding
+from lexisweep.llm import (
+    bpe,
+    fingerprints,
+    neardup,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +89,9 @@ def op10_repeats(spark, folder):
 def op3_quality(spark, folder):
     """Quality scores of all documents, from weak labels."""
     return quality.classify(table(spark, folder, "documents"))
+
+
+@register()
+def op4_fingerprints(spark, folder):
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edited_likeness(table(spark, folder, "documents"))
