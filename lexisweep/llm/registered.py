@@ -15,6 +15,7 @@ from lexisweep.llm import (
     repeats,
     secrets,
     sharding,
+    toxicity,
 )
 
 QUERIES = {}
@@ -95,3 +96,9 @@ def op3_quality(spark, folder):
 def op4_fingerprints(spark, folder):
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.edited_likeness(table(spark, folder, "documents"))
+
+
+@register()
+def op7_toxicity(spark, folder):
+    """Toxicity scores of all documents, from labelled examples."""
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
