@@ -284,14 +284,15 @@ def _class_components(docs, classes, percent):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_digest) of every row.
+    """(doc_id, n_shingles, component_id, kept, text_digest, component) of every row.
 
     Documents are linked if 100 * intersection >= percent * union of their sets
     of 5-word shingles; ``component_id`` is the smallest ``doc_id`` that links
     reach, ``kept`` says that it is the row's own.  A text without words, or
     null, has no shingles and is linked with nothing.  Rows with a null id are
     linked like others; the smallest id is that of the others, if any.  Repeated
-    rows get the same result.  An empty table gives an empty one.  Only
+    rows get the same result.  ``component`` numbers the components, null without
+    shingles.  An empty table gives an empty one.  Only
     ``doc_id`` and ``text`` are read.
     """
     rows = staged(_sketched(docs), "sketches")
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")
     )
     facts = join_facts(labels, staged(least, "least"), "component", "n")
-    facts = staged(facts.select("digest", "rows", "component_id"), "facts")
+    facts = staged(facts.select("digest", "rows", "component_id", "component"), "facts")
     joined = join_facts(rows.drop("halves"), facts, "digest", "rows")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.withColumn("component_id", own).select(
@@ -326,4 +327,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         "text_digest",
+        "component",
+    )
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates, all columns: that
+    of the smallest id, and of several with that id the least by text digest.
+
+    Of rows without shingles those with different ids or texts are all kept.
+    Equal rows (same id, same text) count once.
+    """
+    found = near_duplicates(docs, percent).filter("kept")
+    one = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_digest")).alias("one"))
+    chosen = one.filter("component is not null").select("one.*")
+    alone = found.filter("component is null").select("doc_id", "text_digest").distinct()
+    reps = chosen.union(alone).toDF("__id", "__digest")
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("__doc"), text_digest().alias("__own"))
+    same = F.col("__doc")["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    first = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.lit(0)))
+    return (
+        rows.join(staged(reps, "kept"), same)
+        .withColumn("__first", first)
+        .filter("__first = 1")
+        .select(*(F.col("__doc")[n].alias(n) for n in names))
     )

@@ -76,7 +76,7 @@ def op5_secrets(spark, folder):
 def op8_neardup(spark, folder):
     """Near-duplicate classes of all documents at 85 % of 5-word shingles."""
     docs = table(spark, folder, "documents")
-    return neardup.near_duplicates(docs, 85).drop("text_digest")
+    return neardup.near_duplicates(docs, 85).drop("text_digest", "component")
 
 
 @register()

@@ -94,7 +94,7 @@ def test_rows(spark, monkeypatch, block):
     rows = corpus(60)
     rows += rows[:5]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, class int, digest string")
-    out = neardup.near_duplicates(df).drop("text_digest").collect()
+    out = neardup.near_duplicates(df).drop("text_digest", "component").collect()
     assert sorted(map(tuple, out)) == expected(rows)
     assert len({r.component_id for r in out}) > 5
 
@@ -108,6 +108,15 @@ def test_empty_and_null_ids(spark):
     assert got == [("3", 1, "3", True), ("None", 0, "None", True), ("None", 1, "3", False), ("None", 1, "None", True)]
 
 
+def test_keep_one(spark):
+    rows = [(5, "a b c", "x"), (3, "A b  c", "y"), (3, "a b C", "z"), (3, "a b C", "z"), (None, "", "e"), (7, None, "n"), (7, None, "n"), (None, "q r", "u"), (None, "Q r", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), str(r.text).lower()) for r in out.collect())
+    assert [g[0] for g in got] == ["3", "7", "None", "None"] and [g[1] for g in got][1:] == ["none", "", "q r"]
+
+
 def test_query(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     out = registered.QUERIES["op8_neardup"](spark, data)
