@@ -10,6 +10,7 @@ from lexisweep.llm import (
     bpe,
     fingerprints,
     neardup,
+    neighbours,
     packing,
     quality,
     repeats,
@@ -102,3 +103,9 @@ def op4_fingerprints(spark, folder):
 def op7_toxicity(spark, folder):
     """Toxicity scores of all documents, from labelled examples."""
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register()
+def op1_neighbours(spark, folder):
+    """The 20 nearest of every 20th embedding."""
+    return neighbours.nearest(table(spark, folder, "embeddings"))
