@@ -33,6 +33,23 @@ class Query:
         return cls(text[len(WHOLE_WORDS_MARK):] if whole else text, whole)
 
 
+def of_language(pages: DataFrame, query: Query) -> DataFrame:
+    """The pages in the query's language, by their column ``wiki``.
+
+    Pages without that column are of the one known language; a query for any
+    other is refused.
+    """
+    if "wiki" in pages.columns:
+        return pages.filter(F.col("wiki") == query.wiki)
+    require_known(query)
+    return pages
+
+
+def require_known(query: Query) -> None:
+    if query.wiki not in WIKIS:
+        raise ValueError(f"unknown wiki language {query.wiki}")
+
+
 def complete_queries(queries: DataFrame) -> DataFrame:
     """Fill in the defaults of absent or null parameters."""
     for name, default in DEFAULTS.items():

@@ -2,36 +2,21 @@
 
 import time
 from dataclasses import asdict, dataclass
-from functools import reduce
-from itertools import batched
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexisweep.functions import multi_match
-from lexisweep.functions.match import match_regex, overlap_shifts
 from lexisweep.operators import hits as hit_ops
 from lexisweep.operators import stats as stat_ops
-from lexisweep.operators.queries import DEFAULTS, WIKIS, Query
+from lexisweep.operators.queries import DEFAULTS, Query, of_language, require_known
 from lexisweep.operators.runlog import run_metrics
 from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.schema import CORPUS_KEYS
 from lexisweep.staging import staged
 
-# Up to here a loop of built-in expressions is the faster way to count a batch.
-FEW_PATTERNS = 6
-
-# Patterns that one scan carries to the tasks; larger batches take more scans.
-PATTERNS_PER_SCAN = 20_000
-
-
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:
-    if "wiki" in corpus.columns:
-        corpus = corpus.filter(F.col("wiki") == query.wiki)
-    elif query.wiki not in WIKIS:
-        raise ValueError(f"unknown wiki language {query.wiki}")
-    return score_pages(corpus, query.pattern, query.whole_words)
+    return score_pages(of_language(corpus, query), query.pattern, query.whole_words)
 
 
 def search_hits(corpus: DataFrame, query: Query) -> DataFrame:
@@ -135,7 +120,8 @@ class Search:
 
 
 def search_batch(corpus: DataFrame, queries) -> DataFrame:
-    """``(query_id, <keys>, count)`` of every matching page of every query.
+    """``(query_id, <keys>, count)`` of every matching page of every query: for
+    each query the rows of :func:`search_hits`.
 
     ``queries`` is a mapping, or pairs, of id and :class:`Query`.
     """
@@ -146,25 +132,30 @@ def search_batch(corpus: DataFrame, queries) -> DataFrame:
 def batch_stats(corpus: DataFrame, queries) -> DataFrame:
     """Per query: the totals of search_stats; no best page if nothing is found.
 
-    Partial aggregation in every task: a query that matches everything costs
-    no more than one that matches little.
+    Totals are added up where the texts are read: a query that matches every page
+    costs a row per input batch.
     """
-    pairs = _pairs(queries)
-    scored = score_batch(corpus, pairs).select(
-        "query_id", "count", "title", "seq", (F.col("count") >= F.col("min_matches")).alias("hit")
+    pairs, id_type = _pairs(queries)
+    shared, ids, spoken = _shipped(corpus, pairs)
+    schema = f"query_id {id_type}, words bigint, pages bigint, most bigint, seq bigint, title string"
+    wanted = ["seq", "title", "text"] + ["wiki"] * spoken
+    found = corpus.select(*wanted).mapInArrow(
+        multi_match.total_counter(shared, ids, spoken), schema
     )
     # A row per query, so that those found nowhere are reported too.
     absent = corpus.sparkSession.createDataFrame(
-        [(key, 0, None, None, False) for key, _ in pairs], scored.schema
+        [(key, 0, 0, 0, None, None) for key, _ in pairs], schema
     )
     return (
-        scored.unionAll(absent)
+        found.unionAll(absent)
         .groupBy("query_id")
         .agg(
-            stat_ops.num_word_matches(),
-            F.count_if("hit").alias("num_page_matches"),
-            stat_ops.max_word_matches(),
-            stat_ops.best_page(),
+            F.sum("words").alias("num_word_matches"),
+            F.sum("pages").alias("num_page_matches"),
+            F.max("most").alias("max_word_matches"),
+            F.max_by("title", F.when(F.col("most") > 0, F.struct("most", "seq"))).alias(
+                "max_page_title"
+            ),
         )
     )
 
@@ -173,91 +164,46 @@ def score_batch(corpus: DataFrame, queries) -> DataFrame:
     """``(query_id, min_matches, <keys>, count)`` of every page and query that
     occurs in it, or asks for no minimum.
 
-    All patterns travel with the plan: the corpus is neither joined nor
-    replicated, the text is read once and dropped before rows are multiplied.
-    A few patterns are counted by built-in expressions, many by one walk over
-    each text.
+    One walk over each text counts all patterns: the corpus is scanned once and
+    neither joined nor replicated.  The queries are broadcast: like the automaton
+    made of them, they have to fit in a task.
     """
+    pairs, id_type = _pairs(queries)
+    shared, ids, spoken = _shipped(corpus, pairs)
     keys = [name for name in CORPUS_KEYS if name in corpus.columns]
-    groups = batched(_pairs(queries), PATTERNS_PER_SCAN)
-    return reduce(DataFrame.unionAll, (_score_group(corpus, keys, group) for group in groups))
+    kept = "".join(f"{k} {corpus.schema[k].dataType.simpleString()}, " for k in keys)
+    schema = f"query_id {id_type}, min_matches bigint, {kept}count bigint"
+    pages = corpus.select(*keys, "text", *["wiki"] * spoken)
+    return pages.mapInArrow(multi_match.pair_counter(shared, ids, keys, spoken), schema)
 
 
 def collect_queries(queries: DataFrame):
     """Pairs of id and Query from a table (query_id, pattern, whole_words,
-    min_matches).  Streams through the driver, which has to name every pattern
-    in the plan anyway."""
-    for row in queries.select(
-        "query_id", "pattern", "whole_words", "min_matches"
-    ).toLocalIterator():
-        query = Query(row["pattern"], row["whole_words"], row["min_matches"])
-        yield row["query_id"], query
+    min_matches, wiki).  The queries of a batch go through the driver, which has
+    to ship them to the tasks anyway."""
+    names = ("pattern", "whole_words", "min_matches", "wiki")
+    for row in queries.select("query_id", *names).toLocalIterator():
+        yield row["query_id"], Query(*(row[name] for name in names))
 
 
 def _pairs(queries):
+    """The pairs, and the SQL type of their ids."""
     pairs = list(queries.items() if hasattr(queries, "items") else queries)
     if not pairs:
         raise ValueError("no queries given")
-    return pairs
-
-
-def _score_group(corpus, keys, pairs):
-    if len(pairs) > FEW_PATTERNS and multi_match.available():
-        return _batch_by_automaton(corpus, keys, pairs)
-    scored = corpus.select(*keys, F.inline(_batch_counts(pairs)))
-    return scored.select("query_id", "min_matches", *keys, "count")
-
-
-def _batch_by_automaton(corpus, keys, pairs):
-    pages = corpus.select(*keys, "text")
-    id_type = T.LongType() if isinstance(pairs[0][0], int) else T.StringType()
-    schema = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("min_matches", T.LongType()),
-            *(T.StructField(name, pages.schema[name].dataType) for name in keys),
-            T.StructField("count", T.LongType()),
-        ]
-    )
-    return pages.mapInArrow(multi_match.batch_counter(pairs, keys), schema)
-
-
-def _batch_counts(pairs) -> Column:
-    """array<struct<query_id, min_matches, count>> of the patterns in ``text``.
-
-    A loop over a literal array rather than a column per pattern, so the plan
-    and its generated code do not grow with the number of patterns.
-    """
-    patterns = F.array(*(_pattern_literal(key, query) for key, query in pairs))
-    text = F.col("text")
-
-    def present(p):
-        return F.contains(text, p["pattern"]) | (p["min_matches"] <= 0)
-
-    def counted(p):
-        rest = F.replace(text, p["pattern"], F.lit(""))
-        removed = F.octet_length(text) - F.octet_length(rest)
-        by_length = F.call_function("div", removed, F.octet_length(p["pattern"]))
-        by_regex = F.regexp_count(text, p["regex"])
-        return F.struct(
-            p["query_id"].alias("query_id"),
-            p["min_matches"].alias("min_matches"),
-            F.when(p["regex"].isNull(), by_length).otherwise(by_regex)
-            .cast("bigint")
-            .alias("count"),
-        )
-
-    return F.transform(F.filter(patterns, present), counted)
-
-
-def _pattern_literal(key, query):
-    plain = not query.whole_words and not overlap_shifts(query.pattern)
-    regex = None if plain else match_regex(query.pattern, query.whole_words)
-    identity = F.lit(key).cast("bigint") if isinstance(key, int) else F.lit(key)
-    return F.struct(
-        identity.alias("query_id"),
-        F.lit(query.pattern).alias("pattern"),
-        F.lit(regex).cast("string").alias("regex"),
-        F.lit(query.min_matches).cast("bigint").alias("min_matches"),
-    )
-
+    for kind, name in ((int, "bigint"), (str, "string")):
+        if all(isinstance(key, kind) for key, _ in pairs):
+            return pairs, name
+    raise TypeError("query ids must be all integers or all strings")
+
+
+def _shipped(corpus, pairs):
+    spoken = "wiki" in corpus.columns
+    if not spoken:
+        for _, query in pairs:
+            require_known(query)
+    context = corpus.sparkSession.sparkContext
+    wanted = [
+        multi_match.Wanted(q.pattern, q.whole_words, q.min_matches, q.wiki) for _, q in pairs
+    ]
+    return context.broadcast(wanted), context.broadcast([key for key, _ in pairs]), spoken

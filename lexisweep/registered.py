@@ -524,7 +524,7 @@ def prepare(spark, folder):
 
 # Query tables and run logs.
 
-_ASKED = """select conv_id * 1000 + turn as query_id, split_part(text, ' ', 1) as pattern,
+_ASKED = """select conv_id * 1000 + turn as query_id, text as pattern,
   case when turn > 0 then turn > 1 end as whole_words, nullif(turn, 0) as min_matches,
   case when role <> 'user' then role end as wiki from conversations"""
 
@@ -537,7 +537,7 @@ _ASKED = """select conv_id * 1000 + turn as query_id, split_part(text, ' ', 1) a
 def normalise_query(spark, folder):
     asked = table(spark, folder, "conversations").selectExpr(
         "conv_id * 1000 + turn as query_id",
-        "split_part(text, ' ', 1) as pattern",
+        "text as pattern",
         "case when turn > 0 then turn > 1 end as whole_words",
         "nullif(turn, 0) as min_matches",
         "case when role <> 'user' then role end as wiki",
@@ -657,44 +657,73 @@ def search_response_stats(spark, folder):
     return run.stats()
 
 
-_BATCH = f"""with {DOCS}, words as (
-  select item_id, regexp_extract(text, '[A-Za-z]+') as word from benchmark),
+_WORDS = """words as (
+  select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from benchmark)"""
+
+# Whole words of [A-Za-z] are runs of word characters.
+_BATCH = f"""with {DOCS}, {_WORDS}, runs as (
+  select chunk_id, seq, title, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as word from docs),
 asked as (
-  select item_id * 2 as query_id, word as pattern, true as whole_words from words
+  select 'word ' || word as query_id from words
   union all
-  select item_id * 2 + 1, word || ' ', false from words),
+  select 'item ' || item_id from benchmark),
 counted as (
-  select query_id, chunk_id, seq, title,
-         case when whole_words then len(regexp_extract_all(text, '\\b' || pattern || '\\b'))
-              else (strlen(text) - strlen(replace(text, pattern, ''))) // strlen(pattern) end as count
-  from docs join asked on contains(text, pattern))"""
+  select 'word ' || word as query_id, chunk_id, seq, title, count(*) as count
+  from runs join words using (word) group by all
+  union all
+  select 'item ' || item_id, chunk_id, seq, title,
+         (strlen(docs.text) - strlen(replace(docs.text, b.text, ''))) // strlen(b.text)
+  from docs join benchmark b on contains(docs.text, b.text))"""
 
 
 def _asked(spark, folder):
-    """Two queries for every benchmark item: its first word, whole and with a space."""
-    words = table(spark, folder, "benchmark").selectExpr(
-        "item_id", "regexp_extract(text, '[A-Za-z]+', 0) as word"
-    )
-    asked = words.selectExpr(
-        "stack(2, item_id * 2, word, true, item_id * 2 + 1, concat(word, ' '), false)"
-        " as (query_id, pattern, whole_words)"
-    )
+    """A query for every benchmark text, anywhere, and one for every word of
+    those, as a whole word."""
+    items = table(spark, folder, "benchmark")
+    words = items.select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")
+    ).distinct()
+    asked = words.selectExpr("concat('word ', word) as query_id", "word as pattern", "true as whole_words")
+    return asked.union(items.selectExpr("concat('item ', item_id)", "text", "false"))
+
+
+def _queries(asked):
     return list(search.collect_queries(query_ops.normalise_query(asked)))
 
 
-@register(f"{_BATCH} select * from counted where count >= 1")
+@register(f"{_BATCH} select * from counted")
 def search_batch(spark, folder):
-    return search.search_batch(documents(spark, folder), _asked(spark, folder))
+    return search.search_batch(documents(spark, folder), _queries(_asked(spark, folder)))
 
 
 @register(
     f"""{_BATCH} select query_id, coalesce(sum(count), 0)::bigint as num_word_matches,
-         count(*) filter (count >= 1) as num_page_matches, coalesce(max(count), 0) as max_word_matches,
+         count(count) as num_page_matches, coalesce(max(count), 0) as max_word_matches,
          arg_max(title, (count, seq)) filter (count >= 1) as max_page_title
        from asked left join counted using (query_id) group by query_id"""
 )
 def search_batch_stats(spark, folder):
-    return search.batch_stats(documents(spark, folder), _asked(spark, folder))
+    return search.batch_stats(documents(spark, folder), _queries(_asked(spark, folder)))
+
+
+@register(
+    f"""with {_WORDS}, languages as (select distinct lang from documents), runs as (
+         select doc_id as seq, lang, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as word
+         from documents)
+       select lang || ' ' || word as query_id, seq, count(*) as count
+       from runs join words using (word) group by all"""
+)
+def search_batch_languages(spark, folder):
+    """Every word asked in every language of the corpus."""
+    corpus = table(spark, folder, "documents").selectExpr("doc_id as seq", "text", "lang as wiki")
+    words = _asked(spark, folder).filter("whole_words").select("pattern")
+    wikis = [r["wiki"] for r in corpus.select("wiki").distinct().collect()]
+    pairs = [
+        (f"{wiki} {r['pattern']}", Query(r["pattern"], True, 1, wiki))
+        for r in words.toLocalIterator()
+        for wiki in wikis
+    ]
+    return search.search_batch(corpus, pairs)
 
 
 # A trailing underscore only keeps a function apart from the one it calls.

@@ -74,48 +74,59 @@ def test_document(spark, data, capacity):
     assert nothing.top_result is None and nothing.other_results == []
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_batch_equals_single_searches(spark, docs, monkeypatch, few):
-    monkeypatch.setattr(search, "FEW_PATTERNS", few)
-    rng = random.Random(2)
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rows = [(1, "A", "the other", "en"), (2, "B", "mother the", "fr"), (3, "C", None, "en"), (4, "D", "other other", "en"), (5, "E", "the", None)]
+    return spark.createDataFrame(rows, "seq long, title string, text string, wiki string")
+
+
+@pytest.mark.parametrize("n", [1, 6, 7, 100])
+@pytest.mark.parametrize("languages", [True, False])
+def test_batch_equals_single_searches(spark, docs, spoken, n, languages):
+    rng = random.Random(n)
+    corpus = spoken if languages else docs.union(docs.limit(1).selectExpr("chunk_id", "-1L", "'null'", "null"))
+    kinds = [(p, w) for p in [*PATTERNS, "other", "zebra"] for w in (False, True)]
     queries = {
-        i: Query(pattern, whole, rng.choice([0, 1, 3]))
-        for i, (pattern, whole) in enumerate((p, w) for p in PATTERNS for w in (False, True))
+        i: Query(*kinds[i % len(kinds)], rng.choice([0, 1, 3]), rng.choice(["en", "fr"]) if languages else "en")
+        for i in range(n)
     }
-    got = {}
-    for row in search.search_batch(docs, iter(queries.items())).collect():
-        got.setdefault(row.query_id, set()).add((row.chunk_id, row.seq, row.title, row["count"]))
+    got = {i: set() for i in queries}
+    for row in search.search_batch(corpus, iter(queries.items())).collect():
+        assert tuple(row[1:]) not in got[row.query_id]
+        got[row.query_id].add(tuple(row[1:]))
+    totals = {row.query_id: tuple(row)[1:] for row in search.batch_stats(corpus, queries).collect()}
+    assert totals.keys() == queries.keys()
+    singles = {}
     for key, query in queries.items():
-        assert got.get(key, set()) == {tuple(r) for r in search.search_hits(docs, query).collect()}, query
+        if query not in singles:
+            hits = {tuple(r) for r in search.search_hits(corpus, query).collect()}
+            stats = tuple(search.search_stats(corpus, query).first())[:4]
+            singles[query] = hits, stats if stats[2] else (*stats[:3], None)
+        assert (got[key], totals[key]) == singles[query], query
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_batch_totals_equal_single_totals(spark, docs, monkeypatch, few):
-    monkeypatch.setattr(search, "FEW_PATTERNS", few)
-    queries = {
-        "a": Query("the", True, 20), "b": Query("erer"), "c": Query("tion", min_matches=0), "d": Query("nowhere at all"),
-    }
-    got = {row.query_id: row[1:] for row in search.batch_stats(docs, queries).collect()}
-    assert got.pop("d") == (0, 0, 0, None)
-    assert got == {k: search.search_stats(docs, queries[k]).first()[:4] for k in got}
+def test_batch_output_comes_in_pieces(spark, docs, monkeypatch):
+    queries = {i: Query(pattern, min_matches=0) for i, pattern in enumerate(PATTERNS)}
+    whole = sorted(search.search_batch(docs, queries).collect())
+    monkeypatch.setattr(multi_match, "OUTPUT_ROWS", 7)
+    walk = multi_match.Walk([multi_match.Wanted("a", False, 0, "en")] * 20)
+    assert walk.occurrences(None) == {} and len(walk.without_minimum()) == 20
+    assert sorted(search.search_batch(docs, queries).collect()) == whole
 
 
-def test_batch_paths_and_ids(spark, docs):
-    few = search.search_batch(docs, {"a": Query("the")})
-    assert "Python" not in plan(few) and few.schema["query_id"].dataType.simpleString() == "string"
-    many = search.search_batch(docs, [(i, Query(f"x{i}")) for i in range(100)])
-    assert multi_match.available() and plan(many).count("FileScan") == 1
+def test_batch_ids(spark, docs, spoken):
+    named = search.search_batch(docs, {"a": Query("the")})
+    assert named.schema["query_id"].dataType.simpleString() == "string"
+    many = search.search_batch(docs, [(i, Query(f"x{i}")) for i in range(30_000)])
+    assert plan(many).count("FileScan") == 1
     assert many.schema["query_id"].dataType.simpleString() == "bigint"
     with pytest.raises(ValueError):
         search.search_batch(docs, [])
-
-
-def test_batch_in_several_scans(spark, docs, monkeypatch):
-    queries = {i: Query(pattern) for i, pattern in enumerate(PATTERNS)}
-    whole = sorted(search.search_batch(docs, queries).collect())
-    monkeypatch.setattr(search, "PATTERNS_PER_SCAN", 4)
-    parts = search.search_batch(docs, queries)
-    assert plan(parts).count("FileScan") == 3 and sorted(parts.collect()) == whole
+    with pytest.raises(TypeError):
+        search.search_batch(docs, {1: Query("a"), "b": Query("a")})
+    for batch in (search.search_batch, search.batch_stats):
+        with pytest.raises(ValueError):
+            batch(docs, {1: Query("a"), 2: Query("a", wiki="nl")})
 
 
 def test_language_of_the_corpus(spark, data):
@@ -146,7 +157,7 @@ def test_one_scan_and_one_count_per_text(spark, docs):
 
 
 def test_stream_equals_batch(spark, data):
-    columns = ("doc_id as seq", "source as title", "text")
+    columns = ("doc_id as seq", "source as title", "text", "lang as wiki")
     batch = spark.read.parquet(f"{data}/documents.parquet")
     stream = (
         spark.readStream.schema(batch.schema)
@@ -165,6 +176,8 @@ def test_stream_equals_batch(spark, data):
     want = search.search_stats(pages, query).first()
     assert spark.table("totals").first()[:] == want[:3]
     assert sorted(spark.table("found").collect()) == sorted(search.search_hits(pages, query).collect())
+    with pytest.raises(ValueError):
+        stream_hits(stream.selectExpr(*columns[:3]), Query("tion", wiki="nl"))
 
 
 def test_query_values():
