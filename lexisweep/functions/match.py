@@ -97,6 +97,11 @@ def is_word_char(char) -> Column:
     return ~_column(char).rlike(_NOT_WORD)
 
 
+def count_word_chars(text) -> Column:
+    """How many characters of a text are word characters."""
+    return F.regexp_count(_column(text), F.lit(_WORD)).cast("bigint")
+
+
 def _has_overlap(text: Column, pattern: str, shifts: list[int]) -> Column:
     """Whether two occurrences overlap; rare in prose, and cheap to find out.
 

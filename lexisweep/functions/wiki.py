@@ -16,9 +16,11 @@ def strip_links(text) -> Column:
     Two passes, so a link inside the label of another one is resolved too.
     """
     column = F.col(text) if isinstance(text, str) else text
+    stripped = column
     for _ in range(LINK_PASSES):
-        column = F.regexp_replace(column, LINK, "$1")
-    return column
+        stripped = F.regexp_replace(stripped, LINK, "$1")
+    # A byte search is far cheaper than the passes, and texts without links stay.
+    return F.when(F.contains(column, F.lit("[[")), stripped).otherwise(column)
 
 
 def is_meta_title(title) -> Column:

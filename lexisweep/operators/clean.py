@@ -7,9 +7,9 @@ from lexisweep.functions.wiki import is_meta_title
 from lexisweep.functions.wiki import strip_links as strip_links_column
 
 
-def select_page_text(dump: DataFrame) -> DataFrame:
-    """Title and article text; of a page no other elements than theirs are read."""
-    return dump.select("title", F.col("revision.text._VALUE").alias("text"))
+def select_page_text(dump: DataFrame, *keys: str) -> DataFrame:
+    """Title and article text, behind the columns ``keys``."""
+    return dump.select(*keys, "title", F.col("revision.text._VALUE").alias("text"))
 
 
 def drop_null_pages(pages: DataFrame) -> DataFrame:

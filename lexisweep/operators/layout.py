@@ -18,10 +18,12 @@ from lexisweep.staging import staged
 # Fixed value: number of chunks by default.
 CHUNKS = 15
 
-# Text per write task of a new layout, and bounds on the lookup table for it.
+# Text per write task of a new layout.
 PART_BYTES = 128 << 20
-MAX_PARTS = 500_000
-MAX_WRITE_TASKS = 20_000
+
+# Chunks that a layout can have: rows are placed by a literal table of their first
+# positions, so an absurd number is refused.
+MOST_CHUNKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -160,38 +162,34 @@ def require_complete(layout: ChunkLayout) -> ChunkLayout:
     return layout
 
 
-def assign_chunks(
-    corpus: DataFrame, layout: ChunkLayout, part_bytes: int = PART_BYTES
-) -> DataFrame:
-    """The corpus with its new ``chunk_id``, laid out for writing.
+def assign_chunks(corpus: DataFrame, layout: ChunkLayout) -> DataFrame:
+    """The corpus with its new ``chunk_id``; a projection.
 
     Chunks are runs of ``seq``, so their first ``seq`` values suffice to place a
-    row: no join with the text.  Chunks larger than ``part_bytes`` are written
-    by several tasks, and the text is shuffled once.
+    row: no join with the text.
     """
-    corpus = corpus.drop("chunk_id")
-    if layout.n_chunks > MAX_PARTS:
-        placed = layout.rows.select("seq", "chunk_id")
-        return corpus.join(placed, "seq").sortWithinPartitions("chunk_id", "seq")
-    part_bytes = max(part_bytes, layout.n_bytes // MAX_PARTS)
-    part = F.call_function("div", F.col("start"), F.lit(part_bytes).cast("bigint"))
-    # At most MAX_PARTS + MAX_PARTS rows, by the two lines above.
-    parts = (
-        layout.rows.groupBy("chunk_id", part.alias("part"))
+    if layout.n_chunks > MOST_CHUNKS:
+        raise ValueError(f"{layout.n_chunks} chunks are more than {MOST_CHUNKS}")
+    firsts = (
+        layout.rows.groupBy("chunk_id")
         .agg(F.min("seq").alias("first"))
         .orderBy("first")
-        .collect()
+        .collect()  # one row per chunk
     )
-    if not parts:
+    corpus = corpus.drop("chunk_id")
+    if not firsts:
         return corpus.withColumn("chunk_id", F.lit(0))
-    index = _last_not_above(F.col("seq"), [p["first"] for p in parts])
-    chunk = F.get(_array_literal([p["chunk_id"] for p in parts], "int"), F.col("part"))
-    return (
-        corpus.withColumn("part", index)
-        .withColumn("chunk_id", chunk)
-        .repartition(min(len(parts), MAX_WRITE_TASKS), "part")
-        .sortWithinPartitions("chunk_id", "seq")
-        .drop("part")
+    index = _last_not_above(F.col("seq"), [p["first"] for p in firsts])
+    chunk = F.get(_array_literal([p["chunk_id"] for p in firsts], "int"), index)
+    return corpus.withColumn("chunk_id", chunk)
+
+
+def lay_out(assigned: DataFrame, n_bytes: int, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Deal an assigned corpus out for writing, in scan order: as many tasks as
+    there are parts of ``part_bytes``, so a large chunk is written by several."""
+    tasks = max(1, -(-n_bytes // part_bytes))
+    return assigned.repartitionByRange(tasks, "chunk_id", "seq").sortWithinPartitions(
+        "chunk_id", "seq"
     )
 
 

@@ -7,6 +7,7 @@ the 2 GiB that a record batch can address.
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ from lexisweep.schema import ROWS_PER_CHUNK
 
 FORMAT = "chunk_files"
 READ_SCHEMA = "chunk_id int, seq bigint, title string, text binary"
+SIZES_SCHEMA = "chunk_id int, seq bigint, bytes bigint"
 DECODED_SCHEMA = "chunk_id int, seq bigint, title string, text string, bytes bigint"
 BATCH_ROWS = 4096
 
@@ -55,6 +57,12 @@ def read_chunk_corpus(spark: SparkSession, prefix: str) -> DataFrame:
     return spark.read.format(FORMAT).option("decoded", "true").load(prefix)
 
 
+def read_chunk_sizes(spark: SparkSession, prefix: str) -> DataFrame:
+    """``(chunk_id, seq, bytes)`` of chunk files; no text leaves the reader."""
+    spark.dataSource.register(ChunkFiles)
+    return spark.read.format(FORMAT).option("sizes", "true").load(prefix)
+
+
 @dataclass(frozen=True)
 class ChunkMetadata:
     """Key-value metadata in the schema of a chunk file: of the whole, and of
@@ -83,15 +91,17 @@ def write_chunks(
 
     A chunk without rows below ``n_chunks`` (or below the highest chunk) gets a
     file of no rows.  ``grouped`` says that every chunk lies in one partition
-    already, in order, and saves the shuffle.
+    already, in order, and saves the shuffle; if that is not so the write fails
+    and leaves what was there.
     """
     chunks.sparkSession.dataSource.register(ChunkFiles)
     metadata = metadata or ChunkMetadata({}, {})
     options = {f"schema.{k}": v for k, v in metadata.schema.items()}
     options |= {f"text.{k}": v for k, v in metadata.text.items()}
     if not grouped:
-        tasks = F.col("chunk_id")
-        chunks = chunks.repartition(n_chunks, tasks) if n_chunks else chunks.repartition(tasks)
+        tasks = n_chunks or 1 + (chunks.agg(F.max("chunk_id")).first()[0] or 0)
+        # Chunk k is written by task k: no two by one while another is idle.
+        chunks = chunks.repartitionById(tasks, "chunk_id")
         chunks = chunks.sortWithinPartitions("chunk_id", "seq")
     (
         chunks.select("chunk_id", "title", F.col("text").cast("binary"))
@@ -109,13 +119,15 @@ class ChunkFiles(DataSource):
         return FORMAT
 
     def schema(self):
-        return DECODED_SCHEMA if self._decoded() else READ_SCHEMA
+        if self._asked("sizes"):
+            return SIZES_SCHEMA
+        return DECODED_SCHEMA if self._asked("decoded") else READ_SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self._decoded())
+        return _Reader(self.options["path"], self._asked("decoded"), self._asked("sizes"))
 
-    def _decoded(self):
-        return self.options.get("decoded", "false") == "true"
+    def _asked(self, option):
+        return self.options.get(option, "false") == "true"
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)
@@ -128,9 +140,10 @@ class _ChunkFile(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, prefix, decoded):
+    def __init__(self, prefix, decoded, sizes):
         self.prefix = prefix
         self.decoded = decoded
+        self.sizes = sizes
 
     def partitions(self):
         indices = set(_existing(self.prefix))
@@ -154,9 +167,12 @@ class _Reader(DataSourceReader):
             columns = {
                 "chunk_id": pa.array([partition.chunk_id] * part.num_rows, pa.int32()),
                 "seq": pa.array(seq, pa.int64()),
-                "title": part.column("title"),
-                "text": part.column("text"),
             }
+            if self.sizes:
+                columns["bytes"] = pc.binary_length(part.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+                continue
+            columns["title"], columns["text"] = part.column("title"), part.column("text")
             if self.decoded:
                 columns["bytes"] = pc.binary_length(columns["text"]).cast(pa.int64())
                 columns["text"] = decode_blocks(columns["text"])
@@ -215,6 +231,11 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         written = [pair for message in messages if message for pair in message.chunks]
+        numbers = [chunk for chunk, _ in written]
+        if repeated := sorted({chunk for chunk, n in Counter(numbers).items() if n > 1}):
+            raise ValueError(f"chunks {repeated[:10]} came from more than one task or run")
+        if numbers and min(numbers) < 0:
+            raise ValueError("chunk numbers must not be negative")
         count = max([self.n_chunks, *(chunk + 1 for chunk, _ in written)])
         missing = set(range(count)) - {chunk for chunk, _ in written}
         written += [self._write_file(chunk, []) for chunk in sorted(missing)]

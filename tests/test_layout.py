@@ -103,20 +103,24 @@ def test_assigned_corpus_keeps_every_row(spark, data):
     positions = layout.scan_positions(docs)
     result = layout.rechunk_by_bytes(positions, 6)
     expected = {r["seq"]: r["chunk_id"] for r in result.rows.collect()}
+    assigned = layout.assign_chunks(docs, result)
+    assert "Exchange" not in assigned._jdf.queryExecution().executedPlan().toString()
     for part_bytes in (1 << 30, 50_000):
-        placed = layout.assign_chunks(docs, result, part_bytes)
+        placed = layout.lay_out(assigned, result.n_bytes, part_bytes)
         assert {r["seq"]: r["chunk_id"] for r in placed.select("seq", "chunk_id").collect()} == expected
     assert placed.select("seq", "text").exceptAll(docs.select("seq", "text")).isEmpty()
     assert placed.rdd.getNumPartitions() > 6  # a chunk spreads over several tasks
+    fresh = layout.lay_out(assigned, result.n_bytes, 50_000)
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     sizes = rechunk(docs, 6).groupBy("chunk_id").agg(F.sum(F.octet_length("text")).alias("b")).collect()
     total = sum(row["b"] for row in sizes)
     assert len(sizes) == 6 and all(abs(row["b"] - total / 6) < total / 12 for row in sizes)
 
 
-def test_too_many_chunks_for_a_lookup(spark, monkeypatch):
+def test_absurd_number_of_chunks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x" * (i % 7 + 1)) for i in range(60)], "seq bigint, text string")
     result = layout.rechunk_by_bytes(layout.scan_positions(docs), 9)
-    looked_up = sorted(layout.assign_chunks(docs, result).select("seq", "chunk_id").collect())
-    monkeypatch.setattr(layout, "MAX_PARTS", 5)
-    joined = sorted(layout.assign_chunks(docs, result).select("seq", "chunk_id").collect())
-    assert looked_up == joined
+    assert layout.assign_chunks(docs, result).count() == 60
+    monkeypatch.setattr(layout, "MOST_CHUNKS", 5)
+    with pytest.raises(ValueError):
+        layout.assign_chunks(docs, result)

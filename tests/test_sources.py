@@ -17,6 +17,7 @@ from lexisweep.sources import chunk_files
 from lexisweep.sources.chunk_files import (
     ChunkMetadata,
     read_chunk_corpus,
+    read_chunk_sizes,
     read_chunks,
     write_chunks,
 )
@@ -112,7 +113,7 @@ def test_prepared_corpus(spark, dump_path, tmp_path):
     packed = prepare(spark, dump_path, compress=True)
     assert dict(packed.select("title", decode_text("text")).collect()) == CLEANED
     plan = corpus._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "redirect" not in plan
+    assert " Exchange " not in plan and "redirect" not in plan and "contributor" not in plan
     assert plan.count("from_xml") == 1
     write_dataset(corpus, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(CLEANED)
@@ -162,6 +163,49 @@ def test_chunk_files(spark, tmp_path):
     assert [r.seq % ROWS_PER_CHUNK for r in back] == [0, 1, 2, 0, 0, 1]
 
 
+@pytest.mark.parametrize("suffix", [".xml", ".xml.bz2"])
+def test_order_over_several_files(spark, tmp_path, suffix):
+    def page(k, size):
+        return f"<page><title>t{k}</title><revision><text x='y'>{'w' * size}</text><contributor><id>?</id></contributor></revision></page>"
+
+    sizes = {"a": [10] * 3, "b": [997] * 300, "c": [500] * 40}
+    want = []
+    for name, pages in sizes.items():
+        data = "<mediawiki>" + "".join(page(f"{name}{k}", n) for k, n in enumerate(pages)) + "</mediawiki>"
+        want += [f"t{name}{k}" for k in range(len(pages))]
+        (tmp_path / f"{name}{suffix}").write_bytes(bz2.compress(data.encode()) if "bz2" in suffix else data.encode())
+    found = []
+    try:
+        for most in ("30000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows = prepare(spark, str(tmp_path)).orderBy("seq").collect()
+            assert [r.title for r in rows] == want
+            assert [r.chunk_id for r in rows] == sorted(r.chunk_id for r in rows)
+            found.append(len({r.chunk_id for r in rows}))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] >= found[1] >= 3
+
+
+def test_a_chunk_from_two_tasks_is_refused(spark, tmp_path):
+    prefix = str(tmp_path / "set")
+    write_chunks(chunk_frame(spark, [0, 1]), prefix)
+    split = chunk_frame(spark, [0] * 10).repartition(2)
+    with pytest.raises(Exception, match="more than one task"):
+        write_chunks(split, prefix, grouped=True)
+    assert sorted(os.listdir(tmp_path)) == ["set-0.rb", "set-1.rb"]
+    assert read_chunks(spark, prefix).count() == 2
+
+
+def test_chunks_are_placed_by_number(spark, tmp_path):
+    prefix = str(tmp_path / "set")
+    write_chunks(chunk_frame(spark, [k % 15 for k in range(60)]).repartition(7), prefix)
+    assert [r["count"] for r in read_chunks(spark, prefix).groupBy("chunk_id").count().collect()] == [4] * 15
+    sizes = read_chunk_sizes(spark, prefix).orderBy("seq").collect()
+    blocks = read_chunks(spark, prefix).orderBy("seq").collect()
+    assert [(r.chunk_id, r.seq, r.bytes) for r in sizes] == [(r.chunk_id, r.seq, len(r.text)) for r in blocks]
+
+
 def writer_input():
     return pa.RecordBatch.from_pydict(
         {"chunk_id": pa.array([0, 0, 2], pa.int32()), "title": ["a", "b", "c"], "text": [b"1", b"22", b"333"]}
