@@ -31,7 +31,9 @@ HEADLINE = (
     "search_batch_stats",
     "strip_links",
     "prepare",
-    "decode_text",
+    "is_word_char",
+    "read_dump",
+    "rechunk",
     "rechunk_by_bytes",
     "split_rows",
     "read_chunks",

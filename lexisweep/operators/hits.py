@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexisweep.functions.wiki import result_link
 from lexisweep.operators.first_rows import first_rows
 from lexisweep.operators.score import filter_min_matches
-from lexisweep.operators.stats import CAPACITY, best_page, max_word_matches
+from lexisweep.operators.stats import best_page, max_word_matches
 
 # Sizes of the bands of a response.
 TOP_TEN = 10
@@ -17,10 +17,8 @@ SHOWN = TOP_TEN + OTHERS
 _BEST, _RECORD = 0, 1
 
 
-def first_hits(
-    scored: DataFrame, min_matches: int = 1, capacity: int = CAPACITY
-) -> DataFrame:
-    """The first matching pages of each chunk in scan order."""
+def first_hits(scored: DataFrame, capacity: int, min_matches: int = 1) -> DataFrame:
+    """The first ``capacity`` matching pages of each chunk in scan order."""
     hits = filter_min_matches(scored, min_matches)
     return first_rows(hits, ["chunk_id"], ["seq"], capacity)
 
@@ -86,7 +84,7 @@ def link_hits(hits: DataFrame, wiki: str = "en") -> DataFrame:
 
 
 def respond(
-    scored: DataFrame, min_matches: int = 1, capacity: int | None = CAPACITY
+    scored: DataFrame, min_matches: int = 1, capacity: int | None = None
 ) -> DataFrame:
     """The ranked response, from one pass over the scored pages.
 

@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 # Fixed value: bytes of the offset stored with each text.
 OFFSET_BYTES = 4
 
-# Fixed value: hits stored per chunk by default.
-CAPACITY = 256
-
 
 def num_word_matches() -> Column:
     """Occurrences in all pages, also those below the minimum."""
@@ -39,10 +36,13 @@ def search_stats(scored: DataFrame, min_matches: int = 1) -> DataFrame:
 
 
 def partial_stats(
-    scored: DataFrame, min_matches: int = 1, capacity: int = CAPACITY
+    scored: DataFrame, min_matches: int = 1, capacity: int | None = None
 ) -> DataFrame:
-    """The totals of each chunk and the number of hits stored for it."""
-    records = F.least(F.col("num_page_matches"), F.lit(capacity).cast("bigint"))
+    """The totals of each chunk and the number of hits stored for it: all, or at
+    most ``capacity`` (256 is customary)."""
+    records = F.col("num_page_matches")
+    if capacity is not None:
+        records = F.least(records, F.lit(capacity).cast("bigint"))
     return (
         scored.groupBy("chunk_id")
         .agg(*_totals(min_matches))

@@ -13,7 +13,7 @@ from lexisweep.operators.queries import DEFAULTS, Query, of_language, require_kn
 from lexisweep.operators.runlog import run_metrics
 from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.schema import CORPUS_KEYS
-from lexisweep.staging import staged
+from lexisweep.staging import new_path, release, written
 
 def _scored(corpus: DataFrame, query: Query) -> DataFrame:
     return score_pages(of_language(corpus, query), query.pattern, query.whole_words)
@@ -52,26 +52,31 @@ class Search:
     query: Query
     capacity: int | None
     time_us: int
+    path: str
 
     @classmethod
     def run(cls, corpus: DataFrame, query: Query, capacity: int | None = None) -> "Search":
         start = time.perf_counter()
-        scored = staged(_scored(corpus, query), "scored")
+        path = new_path(corpus.sparkSession, "scored")
+        scored = written(_scored(corpus, query), path)
         elapsed = time.perf_counter() - start
-        return cls(scored, query, capacity, round(elapsed * 1e6))
+        return cls(scored, query, capacity, round(elapsed * 1e6), path)
+
+    def close(self) -> None:
+        """Delete the scored pages; the views are void."""
+        release(self.scored.sparkSession, self.path)
 
     def hits(self) -> DataFrame:
         return filter_min_matches(self.scored, self.query.min_matches).drop("bytes")
 
     def partials(self) -> DataFrame:
-        capacity = (1 << 63) - 1 if self.capacity is None else self.capacity
-        return stat_ops.partial_stats(self.scored, self.query.min_matches, capacity)
+        return stat_ops.partial_stats(self.scored, self.query.min_matches, self.capacity)
 
     def merged(self) -> DataFrame:
         k = self.query.min_matches
         if self.capacity is None:
             return hit_ops.last_per_title(filter_min_matches(self.scored, k))
-        records = hit_ops.first_hits(self.scored, k, self.capacity)
+        records = hit_ops.first_hits(self.scored, self.capacity, k)
         return hit_ops.merge_hits(hit_ops.best_hits(self.scored, k), records)
 
     def stats(self) -> DataFrame:

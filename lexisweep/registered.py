@@ -4,14 +4,14 @@ Each entry of ``QUERIES`` takes ``(spark, folder)`` and covers whole tables and
 whole texts; ``ORACLES`` holds the SQL that must give the same rows.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisweep.functions.codec import decode_text, encode_text
 from lexisweep.functions.match import (
     count_substring,
     count_whole_word,
-    is_word_char,
+    count_word_chars,
     match_count,
 )
 from lexisweep.operators import clean, hits, layout, runlog, stats
@@ -21,8 +21,8 @@ from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.plans import prepare as prepare_plan
 from lexisweep.plans import search
 from lexisweep.schema import ROWS_PER_CHUNK
-from lexisweep.sources.chunk_files import read_chunks, write_chunks
-from lexisweep.sources.dataset import dataset_head, open_dataset
+from lexisweep.sources.chunk_files import read_chunk_corpus, read_chunks, write_chunks
+from lexisweep.sources.dataset import OpenDataset, dataset_head
 from lexisweep.sources.dump import read_dump, write_dump
 from lexisweep.staging import new_path, staged
 
@@ -154,9 +154,8 @@ def count_whole_word_(spark, folder):
        from documents"""
 )
 def is_word_char_(spark, folder):
-    chars = F.filter(F.split("text", ""), is_word_char)
     return table(spark, folder, "documents").select(
-        "doc_id", F.size(chars).cast("bigint").alias("word_chars")
+        "doc_id", count_word_chars("text").alias("word_chars")
     )
 
 
@@ -213,6 +212,8 @@ def drop_meta_pages(spark, folder):
     return clean.drop_meta_pages(pages)
 
 
+# Fixed values, as in functions/wiki.py: the link, title and address patterns in
+# the SQL below.
 _LINKED = (
     "concat('[[a|', text, ']] [[File:p|thumb|cap [[', source, '|r]] z]] [[e|]] [[', lang, ']]')"
 )
@@ -230,24 +231,6 @@ def strip_links(spark, folder):
     return clean.strip_links(linked)
 
 
-@register("select doc_id, strlen(text) as n_bytes, true as lossless from documents")
-def encode_text_(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("block", encode_text("text"))
-    return docs.select(
-        "doc_id",
-        F.octet_length("text").cast("bigint").alias("n_bytes"),
-        (decode_text("block") == F.col("text")).alias("lossless"),
-    )
-
-
-@register("select doc_id, text from documents")
-def decode_text_(spark, folder):
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", encode_text("text").alias("block")).select(
-        "doc_id", decode_text("block").alias("text")
-    )
-
-
 # Hits and totals.
 
 
@@ -352,13 +335,13 @@ def _merged(spark, folder):
     # Two branches: staged, so that they share one scan of the text.
     pages = staged(_page_the(spark, folder), "scored")
     return hits.merge_hits(
-        hits.best_hits(pages, 2), hits.first_hits(pages, 2, SMALL_CAPACITY)
+        hits.best_hits(pages, 2), hits.first_hits(pages, SMALL_CAPACITY, 2)
     )
 
 
 @register(f"{PAGE_THE}{_FIRST} select chunk_id, seq, title, cnt as count, position::int as position from first")
 def first_hits(spark, folder):
-    return hits.first_hits(_page_the(spark, folder), 2, SMALL_CAPACITY).drop("bytes")
+    return hits.first_hits(_page_the(spark, folder), SMALL_CAPACITY, 2).drop("bytes")
 
 
 @register(f"{PAGE_THE}{_MERGED} select title, count from merged")
@@ -455,10 +438,14 @@ def read_dump_(spark, folder):
     )
 
 
-def _chunk_files(spark, folder):
-    prefix = new_path(spark, "chunks")
+def _chunk_prefix(spark, folder):
+    prefix = f"{new_path(spark, 'chunks')}/set"
     write_chunks(documents(spark, folder).withColumn("text", encode_text("text")), prefix)
-    return read_chunks(spark, prefix)
+    return prefix
+
+
+def _chunk_files(spark, folder):
+    return read_chunks(spark, _chunk_prefix(spark, folder))
 
 
 @register(
@@ -495,12 +482,61 @@ def dataset_head_(spark, folder):
 
 @register("select doc_id, lang, source, strlen(text) as n_bytes from documents")
 def open_dataset_(spark, folder):
-    corpus = open_dataset(spark, f"{folder}/documents.parquet")
+    """Kept on the executors, reloaded, released, and read again."""
+    path = f"{folder}/documents.parquet"
+    dataset = OpenDataset(spark)
+    kept = dataset.open(path, keep_loaded=True)
+    rows = kept.count()
+    again = dataset.open(path, force_reload=True, keep_loaded=True)
+    if kept is again or again.count() != rows or not spark.catalog.tableExists(dataset.VIEW):
+        raise AssertionError("the dataset did not reload")
+    dataset.close()
+    corpus = dataset.open(path)
     return corpus.select(
         "doc_id", "lang", "source", F.octet_length("text").cast("bigint").alias("n_bytes")
     )
 
 
+@register(
+    f"""{_CHUNKED} select seq, least(chunk_id, 14)::int as chunk_id,
+         source || '/' || doc_id as title, text
+       from chunked join documents on doc_id = seq"""
+)
+def rechunk(spark, folder):
+    corpus = prepare_plan.rechunk(documents(spark, folder))
+    return corpus.select("seq", "chunk_id", "title", "text")
+
+
+@register(
+    f"""with {DOCS} select title, text,
+         row_number() over (order by seq) - 1 as position from docs"""
+)
+def rechunk_files(spark, folder):
+    """Chunk files to 7 others, in the same order; chunks ascend with it."""
+    source, target = _chunk_prefix(spark, folder), f"{new_path(spark, 'even')}/set"
+    prepare_plan.rechunk_files(spark, source, target, 7)
+    rows = read_chunk_corpus(spark, target)
+    # Rows before each chunk, one number per chunk.
+    sizes = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    place = F.col("seq") - F.col("chunk_id") * F.lit(ROWS_PER_CHUNK) + F.col("before")
+    return rows.join(F.broadcast(before), "chunk_id").select("title", "text", place.alias("position"))
+
+
+@register(
+    f"""with {DOCS}, scored as (
+         select chunk_id, seq, title, {sql_word('the')} as cnt from docs)
+       select sum(cnt)::bigint as num_word_matches,
+              count(*) filter (cnt >= 3) as num_page_matches, max(cnt) as max_word_matches,
+              arg_max(title, (cnt, seq)) as max_page_title from scored"""
+)
+def search_chunk_files(spark, folder):
+    """A search in chunk files; their stored size depends on the codec."""
+    corpus = read_chunk_corpus(spark, _chunk_prefix(spark, folder))
+    return search.search_stats(corpus, Query("the", True, 3)).drop("input_size")
+
+
 @register(
     rf"""with linked as (
          select source || case when lang = 'en' then ':' else ': ' end || doc_id as title,
@@ -522,6 +558,25 @@ def prepare(spark, folder):
     return prepare_plan.prepare(spark, path).select("title", "text", "bytes")
 
 
+@register(
+    """select 'p/' || doc_id as title, row_number() over (order by doc_id % 3, doc_id) as position
+       from documents"""
+)
+def prepare_order(spark, folder):
+    """Pages of a dump of three files: numbered in the order of files and pages."""
+    path = new_path(spark, "dumps")
+    docs = table(spark, folder, "documents")
+    for part in range(3):
+        pages = docs.filter(F.col("doc_id") % 3 == part).coalesce(1).sortWithinPartitions("doc_id")
+        shaped = pages.selectExpr(
+            "concat('p/', doc_id) as title",
+            "named_struct('text', named_struct('_VALUE', text, '_space', 'preserve')) as revision",
+        )
+        write_dump(shaped, f"{path}/{part}")
+    corpus = prepare_plan.prepare(spark, f"{path}/*")
+    return corpus.select("title", F.row_number().over(Window.orderBy("seq")).alias("position"))
+
+
 # Query tables and run logs.
 
 _ASKED = """select conv_id * 1000 + turn as query_id, text as pattern,
@@ -726,6 +781,28 @@ def search_batch_languages(spark, folder):
     return search.search_batch(corpus, pairs)
 
 
+@register(
+    f"""{PAGE_THE}{_RANKED} select rank, band, title, count from banded"""
+)
+def response_document(spark, folder):
+    """The nested answer, taken apart again: bands in order, ranked from 1."""
+    run = search.Search.run(web_pages(spark, folder), Query("the", True, 2), SMALL_CAPACITY)
+    lists = F.array(
+        F.struct(F.lit("top").alias("band"), F.array("top_result").alias("hits")),
+        F.struct(F.lit("top_ten").alias("band"), F.col("top_ten_results").alias("hits")),
+        F.struct(F.lit("other").alias("band"), F.col("other_results").alias("hits")),
+    )
+    before = F.when(F.col("band") == "top", 0).when(F.col("band") == "top_ten", 1)
+    before = before.otherwise(1 + F.col("tens"))
+    return (
+        run.document()
+        .select(F.inline(lists), F.size("top_ten_results").alias("tens"))
+        .select("band", before.alias("before"), F.posexplode("hits").alias("at", "hit"))
+        .filter("hit is not null")
+        .select((F.col("before") + F.col("at") + 1).alias("rank"), "band", "hit.*")
+    )
+
+
 # A trailing underscore only keeps a function apart from the one it calls.
 for _names in (QUERIES, ORACLES):
     for _key in [key for key in _names if key.endswith("_")]:

@@ -1,5 +1,6 @@
 """Intermediate tables in the folder all executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,16 @@ _staged = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may leave it unset; it then gets a temporary
-    folder of its own.  On a cluster a machine-local folder would be wrong.
+    Only a session whose tasks run in the driver's own process (tests) may leave
+    it unset; it then gets a temporary folder of its own.  Whether a ``file:``
+    folder is a mount that all machines share cannot be told from its name: that
+    is for whoever sets it.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lexisweep-")
@@ -29,7 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own, which ``drop_staged`` deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -38,17 +44,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage, survives the loss of executors, and lets several consumers
     share one scan of the text.  Runs a job.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
+    return written(df, new_path(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this application has staged; their readers are void."""
+    for path in list(_staged):
+        release(spark, path)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete one path of ``new_path``; what reads it is void."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = hadoop.Path(_staged.pop())
-        path.getFileSystem(settings).delete(path, True)
+    where = hadoop.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _staged:
+        _staged.remove(path)

@@ -61,7 +61,7 @@ def test_response(spark, seed, capacity):
         composed = hits.last_per_title(filter_min_matches(scored, k))
         known = True
     else:
-        composed = hits.merge_hits(hits.best_hits(scored, k), hits.first_hits(scored, k, capacity))
+        composed = hits.merge_hits(hits.best_hits(scored, k), hits.first_hits(scored, capacity, k))
         known = stats.all_known(stats.partial_stats(scored, k, capacity)).first()[0]
     assert dict(composed.select("title", "count").collect()) == merged
     assert hits.num_result_records(composed).first()[0] == len(merged)
@@ -74,7 +74,7 @@ def test_three_articles(spark):
     row = stats.search_stats(scored).first()
     assert (row.num_word_matches, row.num_page_matches, row.max_word_matches) == (3, 3, 1)
     assert row.max_page_title == "title c"
-    assert [r.title for r in hits.first_hits(scored, 1, 2).orderBy("seq").collect()] == ["title a", "title b"]
+    assert [r.title for r in hits.first_hits(scored, 2, 1).orderBy("seq").collect()] == ["title a", "title b"]
     shown = hits.rank_labels(hits.respond(scored, 1, 2)).orderBy("rank").collect()
     assert [(r.band, r.title, r.label) for r in shown] == [
         ("top", "title a", 1),
