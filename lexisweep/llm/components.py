@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisweep.llm.common import join_facts
 from lexisweep.staging import staged
 
 
@@ -12,24 +11,26 @@ def components(links: DataFrame) -> DataFrame:
     is its smallest node.
 
     Each round writes its links as a table, so lineage stays short.  A node may
-    have most of the links: minima combine before the shuffle, and hot nodes are
-    joined by ``join_facts``.
+    have most of the links: minima combine before the shuffle, and the join that
+    spreads them reads written tables, so that Spark can split a hot node's rows.
     """
     stars = staged(_falling(links), "links")
-    seen = None
-    while True:
-        state = stars.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == seen:
-            break
-        seen = state
-        stars = staged(_small_star(staged(_large_star(stars), "links")), "links")
+    while not _are_stars(stars):
+        stars = staged(_small_star(_large_star(stars)), "links")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         stars.select("v", "v").distinct()
     )
 
 
+def _are_stars(links):
+    """Whether each node has one link to a smaller one, which has none."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    worst = nodes.agg(F.max(F.col("down") + F.least("down", "up"))).first()[0]
+    return worst is None or worst <= 1
+
+
 def _falling(links):
     return (
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -38,24 +39,20 @@ def _falling(links):
     )
 
 
-def _with_least(links, both):
-    """Links with the least neighbour of their ``u``, itself included."""
-    least = both.groupBy("u").agg(
-        F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("weight")
-    )
-    return join_facts(links, staged(least, "least"), "u", "weight")
-
-
 def _large_star(links):
-    """Larger neighbours are linked to the least neighbour."""
+    """Larger neighbours are linked to the least neighbour, or the node itself."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    rising = both.filter("v > u")
-    return _falling(_with_least(rising, both).select(F.col("v").alias("u"), F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    rising = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    joined = rising.join(staged(least, "least"), "u")
+    return _falling(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(links):
-    """Smaller neighbours and the node itself are linked to the least one."""
-    found = _with_least(links, links)
+    """Smaller neighbours and the node itself are linked to the least one.  After a
+    large star no node has many smaller neighbours."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    found = links.join(least, "u")
     own = found.select("u", F.col("m").alias("v"))
     others = found.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _falling(own.union(others))

@@ -110,8 +110,8 @@ def _proposed(classes):
 
 
 def _sets_of(docs, wanted):
-    """(class, values) for ``wanted`` (doc_id, class, digest), from the texts; a
-    class may come more than once if rows are repeated."""
+    """(class, cluster, members, values) for ``wanted`` (those and doc_id, digest),
+    from the texts; a class may come more than once if rows are repeated."""
 
     def sets(batches):
         import xxhash
@@ -123,15 +123,17 @@ def _sets_of(docs, wanted):
                 if xxhash.xxh3_128_digest(found.tobytes()) == digest.as_py():
                     kept.append(row)
                     values.append(found.view(numpy.int64))
-            ids = batch.column("class").take(pa.array(kept, pa.int64()))
+            names = ["class", "cluster", "members"]
+            at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(values, pa.list_(pa.int64()))], ["class", "values"]
+                [*(batch.column(n).take(at) for n in names), pa.array(values, pa.list_(pa.int64()))],
+                [*names, "values"],
             )
 
     ids = wanted.withColumnRenamed("doc_id", "__id")
     found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return found.select("class", "text", "digest").mapInArrow(
-        sets, "class bigint, values array<bigint>"
+    return found.select("class", "cluster", "members", "text", "digest").mapInArrow(
+        sets, "class bigint, cluster bigint, members bigint, values array<bigint>"
     )
 
 
@@ -163,7 +165,7 @@ def _verified_alone(small, percent):
 def _star_links(links, sets, percent):
     """The links (u, v) of which both sets are alike enough; sets meet in chunks
     of at most BLOCK rows, whatever the number of links of one ``v``."""
-    ranked = numbered(staged(links, "stars"), ["v"], ["u"], "rank")
+    ranked = numbered(links, ["v"], ["u"], "rank")
     chunked = staged(ranked.withColumn("chunk", F.expr(f"rank div {BLOCK}")), "chunks")
     stars = (
         chunked.groupBy("v")
@@ -188,14 +190,12 @@ def _block_links(members, percent):
     ``members``: (cluster, component, class, values), each class once.
     """
     sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    by_size = Window.partitionBy("cluster").orderBy(F.col("n").desc(), "component")
-    largest = (
-        sizes.withColumn("place", F.row_number().over(by_size))
-        .filter("place = 1")
-        .select("cluster", F.col("component").alias("largest"), "n")
+    totals = sizes.groupBy("cluster").agg(
+        F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"),
+        F.max("n").alias("n"),
+        F.sum("n").alias("all"),
     )
-    totals = sizes.groupBy("cluster").agg(F.sum("n").alias("all"))
-    open_ = largest.join(totals, "cluster").filter("all > n").select(
+    open_ = totals.filter("all > n").select(
         "cluster", "largest", "all", (F.col("all") - F.col("n")).alias("out")
     )
     narrow = members.select("cluster", "component", "class")
@@ -242,23 +242,22 @@ def _block_links(members, percent):
 def _class_components(docs, classes, percent):
     """(node, component) for the classes that are in clusters; others are alone."""
     links = staged(_proposed(classes), "proposed")
-    clusters = staged(
-        components(links).select(F.col("node").alias("class"), F.col("component").alias("cluster")),
-        "clusters",
+    clusters = components(links).select(
+        F.col("node").alias("class"), F.col("component").alias("cluster")
     )
     facts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     sized = staged(
         join_facts(clusters, staged(facts, "sizes"), "cluster", "members"), "clusters"
     )
-    wanted = classes.select("class", "doc_id", "digest").join(sized.select("class"), "class")
-    sets = staged(_sets_of(docs, wanted).join(sized, "class"), "sets")
+    wanted = classes.select("class", "doc_id", "digest").join(sized, "class")
+    sets = staged(_sets_of(docs, wanted), "sets")
     small = sets.filter(F.col("members") <= BLOCK)
     bins = 1 + sized.count() // BLOCK
     alone = _verified_alone(
         small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))), percent
     )
     if sized.filter(F.col("members") > BLOCK).isEmpty():
-        return staged(alone, "components")
+        return alone
     large = staged(
         sets.filter(F.col("members") > BLOCK)
         .groupBy("class", "cluster")
@@ -279,8 +278,7 @@ def _class_components(docs, classes, percent):
         ),
         "members",
     )
-    more = staged(_block_links(members, percent), "near")
-    return staged(alone.union(components(near.union(more))), "components")
+    return alone.union(components(near.union(_block_links(members, percent))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
