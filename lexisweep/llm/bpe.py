@@ -25,12 +25,14 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Characters of a leaf, and of the first window on either side of a seam.
 LEAF = 4096
 WINDOW = 32
 
+# Bytes of text whose ids a task holds at once; a longer text comes alone.
+PART = 4 << 20
+
 _STABLE = regex.compile(
     r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
     r"|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
@@ -137,43 +139,42 @@ def codec(path, pattern) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_column(text, path: str, pattern: str):
-    """Ids of a text column as little-endian unsigned 32-bit integers; null: none."""
-
-    @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        import numpy
-
-        encode = codec(path, pattern).encode
-        return pa.array(
-            (numpy.array(encode(t.as_py() or ""), "<u4").tobytes() for t in texts), pa.binary()
-        )
-
-    return ids.asNondeterministic()(text)  # keeps the optimizer from running it twice
-
-
-def decode_column(ids, path: str, pattern: str):
-    """The bytes that a column of encoded ids stands for; null: none."""
-
-    @F.arrow_udf("binary")
-    def decoded(column: pa.Array) -> pa.Array:
-        import numpy
-
-        decode = codec(path, pattern).decode
-        return pa.array(
-            (decode(numpy.frombuffer(i.as_py() or b"", "<u4").tolist()) for i in column),
-            pa.binary(),
-        )
-
-    return decoded.asNondeterministic()(ids)
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row; only ``doc_id`` and ``text`` are read.
 
-    A null text is an empty one; an empty text has no ids.  Rows are treated one
-    by one, so repeated rows, ties and null ids need no rule; an empty table gives
-    an empty one.  No row is shuffled: a text is one row of one task.
+    ``ids`` are little-endian unsigned 32-bit integers, ``decoded`` the bytes they
+    stand for.  A null text is an empty one; an empty text has no ids.  Rows are
+    treated one by one, so repeated rows, ties and null ids need no rule; an empty
+    table gives an empty one.  No row is shuffled: a text is one row of one task.
     """
-    coded = docs.select("doc_id", encode_column("text", path, pattern).alias("ids"))
-    return coded.withColumn("decoded", decode_column("ids", path, pattern))
+
+    def code(batches):
+        import numpy
+
+        both = codec(path, pattern)
+        for batch in batches:
+            for part in _parts(batch):
+                ids = [both.encode(t.as_py() or "") for t in part.column("text")]
+                packed = [numpy.array(i, "<u4").tobytes() for i in ids]
+                decoded = [both.decode(numpy.frombuffer(i, "<u4").tolist()) for i in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())],
+                    ["doc_id", "ids", "decoded"],
+                )
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary"
+    return docs.select("doc_id", "text").mapInArrow(code, schema)
+
+
+def _parts(batch, most=PART):
+    """A batch in slices of about ``most`` bytes of text, so that a task holds the
+    ids of few texts at once."""
+    import numpy
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    cuts = numpy.flatnonzero(numpy.diff(numpy.cumsum(sizes) // most)) + 1
+    starts = [0, *cuts.tolist()]
+    for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
