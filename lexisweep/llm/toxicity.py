@@ -15,7 +15,7 @@
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy
 import pyarrow as pa
@@ -79,43 +79,50 @@ class Counts:
 
 
 class Index:
-    """Unit vectors of examples in blocks; exact nearest by largest cosine."""
+    """Unit vectors of examples in blocks; exact nearest by largest cosine.
+
+    Postings are in flat arrays by term and example.  A segment is the postings
+    of a term in a block, with their largest weight.
+    """
 
     def __init__(self, vectors, block=BLOCK):
-        self.size, self.block = len(vectors), block
-        lists = defaultdict(list)
-        for example, (terms, weights) in enumerate(vectors):
-            for term, weight in zip(terms, weights):
-                lists[term].append((example, weight))
-        self.lists = {}
-        for term, pairs in lists.items():
-            examples = numpy.array([e for e, _ in pairs])
-            weights = numpy.array([w for _, w in pairs])
-            blocks, starts = numpy.unique(examples // block, return_index=True)
-            most = numpy.maximum.reduceat(weights, starts)
-            stops = numpy.append(starts[1:], len(pairs))
-            self.lists[term] = examples, weights, blocks, starts, stops, most
-        self.blocks = -(-self.size // block)
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        sizes = [len(terms) for terms, _ in vectors]
+        terms = numpy.array([t for terms, _ in vectors for t in terms], dtype=int)
+        weights = numpy.array([w for _, weights in vectors for w in weights], dtype=float)
+        examples = numpy.repeat(numpy.arange(len(vectors)), sizes)
+        order = numpy.lexsort((examples, terms))
+        terms, self.examples, self.weights = terms[order], examples[order], weights[order]
+        keys = terms * max(self.blocks, 1) + self.examples // block
+        keys, self.starts = numpy.unique(keys, return_index=True)
+        self.stops = numpy.append(self.starts[1:], len(terms))
+        self.of_block = keys % max(self.blocks, 1)
+        self.most = numpy.maximum.reduceat(self.weights, self.starts) if len(keys) else keys
+        of_term = keys // max(self.blocks, 1)
+        found, first = numpy.unique(of_term, return_index=True)
+        last = numpy.append(first[1:], len(keys))
+        self.segments = dict(zip(found.tolist(), zip(first.tolist(), last.tolist())))
 
     def nearest(self, terms, weights, k=K):
         """(examples, cosines) of the ``k`` largest positive cosines, largest
         first, ties to the earlier example."""
-        lists = [(w, self.lists[t]) for t, w in zip(terms, weights) if t in self.lists]
-        if not lists:
+        known = [(self.segments[t], w) for t, w in zip(terms, weights) if t in self.segments]
+        if not known:
             return numpy.zeros(0, int), numpy.zeros(0)
-        bounds = numpy.zeros(self.blocks)
-        for w, (_, _, blocks, _, _, most) in lists:
-            bounds[blocks] += w * most
+        segments = numpy.concatenate([numpy.arange(*ends) for ends, _ in known])
+        asked = numpy.repeat([w for _, w in known], [b - a for (a, b), _ in known])
+        of_block = self.of_block[segments]
+        bounds = numpy.bincount(of_block, asked * self.most[segments], self.blocks)
         order = numpy.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, scores, at, step = numpy.zeros(0, int), numpy.zeros(0), 0, 4
+        order = order[: numpy.count_nonzero(bounds)]
+        found, scores, at, step = numpy.zeros(0, int), numpy.zeros(0), 0, 8
         while at < len(order):
-            least = scores[k - 1] if len(scores) >= k else 0.0
             # Bounds and scores are sums in the same order up to rounding.
-            if bounds[order[at]] < least - 1e-9:
+            if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-9:
                 break
-            chosen = numpy.sort(order[at : at + step])
-            new, values = self._scored(lists, chosen)
+            chosen = numpy.zeros(self.blocks, dtype=bool)
+            chosen[order[at : at + step]] = True
+            new, values = self._scored(segments[chosen[of_block]], asked[chosen[of_block]])
             found = numpy.concatenate([found, new])
             scores = numpy.concatenate([scores, values])
             best = numpy.lexsort((found, -numpy.round(scores, 12)))[:k]
@@ -123,18 +130,14 @@ class Index:
             at, step = at + step, step * 2
         return found, scores
 
-    def _scored(self, lists, chosen):
-        """All examples with positive cosine in the chosen blocks."""
-        total = numpy.zeros(len(chosen) * self.block)
-        for w, (examples, weights, blocks, starts, stops, _) in lists:
-            place = numpy.searchsorted(chosen, blocks)
-            place[place == len(chosen)] = 0
-            for b in numpy.flatnonzero(chosen[place] == blocks):
-                part = slice(starts[b], stops[b])
-                to = place[b] * self.block + examples[part] - blocks[b] * self.block
-                total[to] += w * weights[part]
-        hit = numpy.flatnonzero(total > 0)
-        return chosen[hit // self.block] * self.block + hit % self.block, total[hit]
+    def _scored(self, segments, asked):
+        """All examples of the segments, with their cosines."""
+        sizes = self.stops[segments] - self.starts[segments]
+        ends = numpy.cumsum(sizes)
+        at = numpy.arange(ends[-1]) + numpy.repeat(self.starts[segments] - ends + sizes, sizes)
+        values = self.weights[at] * numpy.repeat(asked, sizes)
+        examples, place = numpy.unique(self.examples[at], return_inverse=True)
+        return examples, numpy.bincount(place, values)
 
 
 def unit(terms, counts, idf):
