@@ -11,6 +11,7 @@ from lexisweep.llm import (
     fingerprints,
     neardup,
     neighbours,
+    oracles,
     packing,
     quality,
     repeats,
@@ -65,7 +66,7 @@ def op9_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), path, 2048)
 
 
-@register()
+@register(oracles.SECRETS)
 def op5_secrets(spark, folder):
     """Secret spans of every document; owners are sources."""
     docs = table(spark, folder, "documents")
@@ -73,7 +74,7 @@ def op5_secrets(spark, folder):
     return secrets.find_secrets(docs, F.col("source"), repository)
 
 
-@register()
+@register(oracles.NEARDUP)
 def op8_neardup(spark, folder):
     """Near-duplicate classes of all documents at 85 % of 5-word shingles."""
     docs = table(spark, folder, "documents")
