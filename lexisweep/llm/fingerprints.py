@@ -8,12 +8,14 @@ fingerprints estimates the Jaccard similarity of the phrase sets from the SIZE
 smallest hashes of both; with fewer phrases it is exact.
 """
 
+import bisect
 import functools
+import hashlib
 import math
 
 import numpy
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisweep.llm.shingles import mixed, numbers
@@ -23,18 +25,52 @@ SIZE = 128
 _TIMES = numbers(6, 1)[0]
 
 
-def phrase_ends(text):
-    """Where the phrases of a text end; a last one seen before counts as well."""
-    seen, ends, phrase = set(), [], ""
-    for at, character in enumerate(text, 1):
-        phrase += character
-        if phrase not in seen:
+class Phrases:
+    """The phrases of a text, and those of another with the same beginning."""
+
+    def __init__(self, text):
+        self.text, self.seen, self.ends = text, set(), []
+        self._parse(0)
+
+    def _parse(self, at):
+        """Phrases from ``at`` on.  With a phrase its beginnings are in the set, so
+        the longest one can be sought from any length, here from the last one's."""
+        text, seen, ends, n, size = self.text, self.seen, self.ends, len(self.text), 1
+        self.last_seen_before = False
+        while at < n:
+            end = at + size
+            phrase = text[at:end]
+            if phrase in seen:
+                while phrase in seen and end < n:
+                    end += 1
+                    phrase = text[at:end]
+                if phrase in seen:  # the text ends in a phrase seen before
+                    ends.append(n)
+                    self.last_seen_before = True
+                    return
+            else:
+                end = at + len(phrase)
+                while end - 1 > at and (shorter := text[at : end - 1]) not in seen:
+                    phrase, end = shorter, end - 1
             seen.add(phrase)
-            ends.append(at)
-            phrase = ""
-    if phrase:
-        ends.append(len(text))
-    return ends
+            ends.append(end)
+            at, size = end, end - at
+
+    def turn_to(self, text, common):
+        """Parse ``text`` instead, of which the first ``common`` characters are the
+        same; returns how many phrases stay."""
+        keep = bisect.bisect_right(self.ends, common)
+        if keep == len(self.ends) and self.last_seen_before:
+            keep -= 1  # it may go on
+        starts = [self.ends[keep - 1] if keep else 0, *self.ends[keep:]]
+        gone = list(zip(starts, self.ends[keep:]))
+        if self.last_seen_before:
+            gone.pop()
+        self.seen.difference_update(self.text[a:b] for a, b in gone)
+        del self.ends[keep:]
+        self.text = text
+        self._parse(starts[0])
+        return keep
 
 
 @functools.lru_cache(maxsize=8)
@@ -42,24 +78,43 @@ def _powers(size):
     return numpy.cumprod(numpy.full(size, _TIMES))
 
 
-def fingerprint(text):
-    """The smallest hashes of the phrase set, 8 hexadecimal digits each, rising;
-    of an empty text, an empty string."""
-    if not text:
-        return ""
-    ends = numpy.array(phrase_ends(text))
+def _hashes(text, ends, start=0):
+    """32-bit hashes of the phrases of ``text[start:]``."""
+    ends = numpy.array(ends, dtype=numpy.int64) - start
+    if not len(ends):
+        return numpy.zeros(0, numpy.uint32)
+    points = numpy.frombuffer(text[start:].encode("utf-32-le"), dtype="<u4").astype(numpy.uint64)
     starts = numpy.concatenate(([0], ends[:-1]))
-    points = numpy.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(numpy.uint64)
     sizes = ends - starts
     place = numpy.arange(len(points)) - numpy.repeat(starts, sizes)
     powers = _powers(1 << int(sizes.max()).bit_length())
     hashes = mixed(numpy.add.reduceat((points + numpy.uint64(1)) * powers[place], starts))
-    hashes = (hashes >> numpy.uint64(32)).astype(numpy.uint32)
+    return (hashes >> numpy.uint64(32)).astype(numpy.uint32)
+
+
+def _written(hashes):
     if len(hashes) > 4 * SIZE:
         hashes = hashes[hashes <= numpy.partition(hashes, 2 * SIZE)[2 * SIZE]]
     return numpy.unique(hashes)[:SIZE].astype(">u4").tobytes().hex()
 
 
+def fingerprint(text):
+    """The smallest hashes of the phrase set, 8 hexadecimal digits each, rising;
+    of an empty text, an empty string."""
+    return _written(_hashes(text, Phrases(text).ends))
+
+
+def fingerprint_pair(text, other, common):
+    """Fingerprints of two texts whose first ``common`` characters are the same,
+    which are parsed once."""
+    phrases = Phrases(text)
+    hashes = _hashes(text, phrases.ends)
+    keep = phrases.turn_to(other, common)
+    start = phrases.ends[keep - 1] if keep else 0
+    more = _hashes(other, phrases.ends[keep:], start)
+    return _written(hashes), _written(numpy.concatenate([hashes[:keep], more]))
+
+
 def likeness(one, other):
     """0 to 1; two empty texts are alike."""
     if one == other:
@@ -76,26 +131,6 @@ def likeness(one, other):
     return float((both[1:][twice] <= distinct[size - 1]).sum() / size)
 
 
-def fingerprint_column(text):
-    """Null texts count as empty."""
-
-    def all_(texts: pa.Array) -> pa.Array:
-        return pa.array((fingerprint(t.as_py() or "") for t in texts), pa.string())
-
-    return F.arrow_udf(all_, "string").asNondeterministic()(text)
-
-
-def likeness_column(one, other):
-    """Null if either is null."""
-
-    def all_(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = ((a.as_py(), b.as_py()) for a, b in zip(left, right))
-        found = (None if a is None or b is None else likeness(a, b) for a, b in pairs)
-        return pa.array(found, pa.float64())
-
-    return F.arrow_udf(all_, "double")(one, other)
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (block, ord, doc_id, text): each document once, in blocks of doc_id,
     and after each block, with ``ord`` 1, the one that follows its last.
@@ -159,36 +194,60 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows of equal id are in the order of their texts, those without id come
     first.  One document follows itself.  An empty table gives an empty one.
     Texts are shuffled once; only ``doc_id`` and ``text`` are read.
+
+    A block is read in order by one task that holds a document and the next.
     """
-    order = Window.partitionBy("block").orderBy("ord", F.col("doc_id").asc_nulls_first(), "text")
-    n = F.char_length("text")
-    quarter = F.expr("char_length(text) div 4").cast("int")
-    edited = F.concat(
-        F.col("text").substr(F.lit(1), n - F.col("quarter")),
-        F.col("next").substr(F.lit(1), F.col("quarter")),
-    )
+    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         with_next(docs)
-        .withColumn("next", F.lead("text").over(order))
-        .withColumn("quarter", quarter)
-        .withColumn("edited", F.when(F.col("ord") == 0, edited).otherwise(""))
-        .withColumn("fingerprint", fingerprint_column(F.col("text")))
-        .withColumn("edited_fingerprint", fingerprint_column(F.col("edited")))
-        .withColumn("n_chars", n.cast("bigint"))
-        .withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+        .repartitionById(blocks, "block")
+        .sortWithinPartitions("block", "ord", F.col("doc_id").asc_nulls_first(), "text")
     )
-    narrow = rows.drop("next", "edited", "quarter")
-    after = F.lead("fingerprint").over(order)
-    return (
-        narrow.withColumn("after", after)
-        .filter("ord = 0")
-        .select(
-            "doc_id",
-            "n_chars",
-            "edited_sha256",
-            "fingerprint",
-            "edited_fingerprint",
-            likeness_column(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-            likeness_column(F.col("fingerprint"), F.col("after")).alias("near_next"),
-        )
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint"]
+    names += ["edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+
+    def compare(batches):
+        out, last, waiting = [], None, None
+
+        def batch():
+            columns = zip(*out) if out else [[]] * len(names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        def follow(own):
+            """The waiting row has learnt its next one's fingerprint."""
+            if waiting is not None:
+                out.append((*waiting, likeness(waiting[3], own)))
+
+        for found in batches:
+            columns = (found.column(n) for n in ("block", "ord", "doc_id", "text"))
+            for row in zip(*columns):
+                block, after, doc_id, text = (value.as_py() for value in row)
+                if last is not None and (block != last[0] or last[1]):
+                    # ``last`` followed its block's last row, and was asked for that.
+                    if block == last[0]:
+                        continue
+                    follow(fingerprint(last[3]))
+                    last, waiting = None, None
+                if last is not None:
+                    _, _, own_id, own = last
+                    cut = len(own) // 4
+                    edited = own[: len(own) - cut] + text[:cut]
+                    mark, other = fingerprint_pair(own, edited, len(own) - cut)
+                    follow(mark)
+                    digest = hashlib.sha256(edited.encode()).hexdigest()
+                    waiting = (own_id, len(own), digest, mark, other, likeness(mark, other))
+                last = block, after, doc_id, text
+            yield batch()
+            out.clear()
+        if last is not None:
+            follow(fingerprint(last[3]))
+        yield batch()
+
+    schema = (
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars bigint, "
+        "edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
     )
+    return rows.mapInArrow(compare, schema)

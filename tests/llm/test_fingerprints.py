@@ -26,6 +26,24 @@ def test_exact_when_small(one, other):
     assert len(fingerprint(one)) == 8 * min(fingerprints.SIZE, len(a))
 
 
+@given(st.text(alphabet="ab", max_size=80), st.text(alphabet="ab", max_size=40), st.text(alphabet="ab", max_size=40))
+def test_shared_beginning(common, one, other):
+    pair = fingerprints.fingerprint_pair(common + one, common + other, len(common))
+    assert pair == (fingerprint(common + one), fingerprint(common + other))
+    found = fingerprints.Phrases(common + one)
+    assert found.ends == plain_ends(common + one)
+
+
+def plain_ends(text):
+    seen, ends, start = set(), [], 0
+    for end in range(1, len(text) + 1):
+        if text[start:end] not in seen:
+            seen.add(text[start:end])
+            ends.append(end)
+            start = end
+    return ends + [len(text)] * (start < len(text))
+
+
 def expected(rows):
     rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
