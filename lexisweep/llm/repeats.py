@@ -26,26 +26,53 @@ from lexisweep.staging import staged
 SENTENCES = 2
 MIN_WORDS = 12
 
-# A sentence ends at a stop followed by white space, at a line's end, or, if it
-# goes on, after so many words.
+# A sentence ends at a stop followed by white space, or at a line's end.  One of
+# more than LONG words is cut in parts of at most so many.
 LONG = 25
 
+# A part starts at a word whose hash (with the two words after it) is the least of
+# so many words on both sides: where a sentence starts does not matter, so copies
+# of a passage are cut alike but for its first and last few words.
+NEAR = 3
+
 _STOP = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
 _TIMES = int(numbers(5, 1)[0])
 _MASK = (1 << 64) - 1
 
 
+def part_starts(words):
+    """Numbers of the words of a long sentence at which its parts start."""
+    import xxhash
+
+    one = xxhash.xxh3_64_intdigest
+    keys = [one(" ".join(words[k : k + 3]).lower().encode()) for k in range(len(words) - 2)]
+    found, k = [0], NEAR
+    while k + NEAR < len(keys):
+        ahead = keys[k : k + NEAR + 1]
+        least = min(ahead)
+        if ahead[0] != least:
+            k += ahead.index(least)
+        elif least < min(keys[k - NEAR : k]):
+            found.append(k)
+            k += NEAR + 1
+        else:
+            k += 1
+    ends = [*found[1:], len(words)]
+    return [k for start, end in zip(found, ends) for k in range(start, end, LONG)]
+
+
 def sentences(text):
-    """(start, words) of each sentence; it reaches to the next one's start."""
+    """(start, words) of each sentence or part; it reaches to the next one's start."""
     found, start = [], 0
     ends = [m.end() for m in _STOP.finditer(text)]
     for end in [*ends, len(text)]:
         words = text[start:end].split()
         if len(words) > LONG:
             places = [start + m.start() for m in _WORD.finditer(text[start:end])]
-            for k in range(0, len(places), LONG):
-                found.append((start if k == 0 else places[k], words[k : k + LONG]))
+            starts = part_starts(words)
+            for k, to in zip(starts, [*starts[1:], len(words)]):
+                found.append((start if k == 0 else places[k], words[k:to]))
         elif words:
             found.append((start, words))
         if words:

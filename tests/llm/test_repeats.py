@@ -80,3 +80,45 @@ def test_query(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     out = registered.QUERIES["op10_repeats"](spark, data).collect()
     assert shown((r.doc_id, r.text, r.cut_chars) for r in out) == shown(plain([tuple(r) for r in rows]))
+
+
+def repeated_words(rows, size):
+    """Per text, whether each word is in a run of ``size`` words that stands in an
+    earlier text or place; on words alone."""
+    seen, out = set(), []
+    for _, text in rows:
+        words = text.lower().split()
+        marks = [False] * len(words)
+        for k in range(len(words) - size + 1):
+            run = tuple(words[k : k + size])
+            if run in seen:
+                marks[k : k + size] = [True] * size
+            seen.add(run)
+        out.append(marks)
+    return out
+
+
+def test_long_sentences_fall_in_step(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(80) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        # In mid-sentence: the passage's place in its sentence differs from text to text.
+        words = some(rng.randrange(26)) + passages[i % 4] + some(rng.randrange(26))
+        if i % 3 == 0:
+            del words[rng.randrange(30)]
+        rows.append((i, " ".join(words) + ". " + " ".join(some(8)) + "."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in repeats.remove_repeats(df).collect()}
+    for (i, text), wide, narrow in zip(rows, repeated_words(rows, 50), repeated_words(rows, 12)):
+        words, kept = text.split(), iter([*left[i].split(), None])
+        at, cut = next(kept), []
+        for w in words:  # words are distinct within a text
+            cut.append(w != at)
+            at = at if cut[-1] else next(kept)
+        assert at is None
+        assert all(n for n, c in zip(narrow, cut) if c)
+        assert sum(w and not c for w, c in zip(wide, cut)) <= 40
+        assert sum(wide) == 0 or sum(cut) >= sum(wide) / 2
