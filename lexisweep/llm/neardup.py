@@ -5,7 +5,8 @@ SIDE * SIDE tables its own.  Here two collections hold SIDE half keys of ROWS
 minhashes each, and a table's key is a pair of half keys, one of either: as many
 tables from 2 * SIDE * ROWS minhashes, about a square root of what it took.  Two
 documents meet unless one collection has no half key in common: at 85 % likeness
-about once in 7000 pairs.
+about once in 7000 pairs.  For a lower threshold the collections grow (``side``),
+so that pairs at the threshold are missed no more often.
 
 Documents with equal shingle sets are one class; everything below is on classes.
 
@@ -20,6 +21,8 @@ Documents with equal shingle sets are one class; everything below is on classes.
 So no pair of a cluster that could join two components is left unverified.
 """
 
+import math
+
 import numpy
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,25 +40,34 @@ from lexisweep.llm.shingles import (
 )
 from lexisweep.staging import staged
 
-# Half keys of a collection, and minhashes of a half key.
+# Half keys of a collection at a threshold of 85 % or more, and minhashes of a half
+# key.
 SIDE = 10
 ROWS = 3
 
 # Classes that are verified in one task, and pairs of one chunk with a star.
 BLOCK = 256
 
-_SEEDS = numbers(3, 2 * SIDE * ROWS)
 _FOLD = numbers(4, ROWS)
 
 
-def half_keys(values):
-    """2 * SIDE half keys of a shingle set, as signed 64-bit numbers."""
-    least = minhashes(values, _SEEDS).reshape(2 * SIDE, ROWS)
+def side(percent):
+    """Half keys of a collection: pairs at ``percent`` are missed at most as often
+    as pairs at 85 % with SIDE of them."""
+    if percent >= 85:
+        return SIDE
+    miss = [math.log(1 - (p / 100) ** ROWS) for p in (85, percent)]
+    return math.ceil(SIDE * miss[0] / miss[1])
+
+
+def half_keys(values, seeds):
+    """Half keys of a shingle set, one for ROWS seeds, as signed 64-bit numbers."""
+    least = minhashes(values, seeds).reshape(-1, ROWS)
     folded = mixed((least * _FOLD[None, :]).sum(axis=1, dtype=numpy.uint64))
     return folded.view(numpy.int64)
 
 
-def _sketched(docs):
+def _sketched(docs, percent):
     """(doc_id, n_shingles, digest, text_digest, halves) per row; the first pass
     over the texts.  Documents without words have no digest."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -63,6 +75,7 @@ def _sketched(docs):
         f"doc_id {id_type}, text_digest binary, n_shingles bigint, "
         "digest binary, halves array<bigint>"
     )
+    seeds = numbers(3, 2 * side(percent) * ROWS)
 
     def sketch(batches):
         import xxhash
@@ -74,7 +87,7 @@ def _sketched(docs):
                 sizes.append(len(values))
                 found = len(values) > 0
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()) if found else None)
-                halves.append(half_keys(values) if found else None)
+                halves.append(half_keys(values, seeds) if found else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -90,10 +103,11 @@ def _sketched(docs):
     return rows.mapInArrow(sketch, schema)
 
 
-def _proposed(classes):
+def _proposed(classes, percent):
     """(u, v): each class and the smallest class of a bucket that it is in."""
-    left = F.posexplode(F.slice("halves", 1, SIDE)).alias("i", "a")
-    right = F.posexplode(F.slice("halves", SIDE + 1, SIDE)).alias("j", "b")
+    n = side(percent)
+    left = F.posexplode(F.slice("halves", 1, n)).alias("i", "a")
+    right = F.posexplode(F.slice("halves", n + 1, n)).alias("j", "b")
     keys = (
         classes.select("class", "halves", left)
         .select("class", "i", "a", right)
@@ -241,7 +255,7 @@ def _block_links(members, percent):
 
 def _class_components(docs, classes, percent):
     """(node, component) for the classes that are in clusters; others are alone."""
-    links = staged(_proposed(classes), "proposed")
+    links = staged(_proposed(classes, percent), "proposed")
     clusters = components(links).select(
         F.col("node").alias("class"), F.col("component").alias("cluster")
     )
@@ -293,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shingles.  An empty table gives an empty one.  Only
     ``doc_id`` and ``text`` are read.
     """
-    rows = staged(_sketched(docs), "sketches")
+    rows = staged(_sketched(docs, percent), "sketches")
     classes = staged(
         rows.filter("digest is not null")
         .groupBy("digest")

@@ -117,6 +117,27 @@ def test_keep_one(spark):
     assert [g[0] for g in got] == ["3", "7", "None", "None"] and [g[1] for g in got][1:] == ["none", "", "q r"]
 
 
+def test_keep_one_at_80_percent(spark):
+    rng = random.Random(4)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    rows = []
+    for k in range(60):
+        base = some(104)
+        copy, less = list(base), list(base)
+        copy[20 + k % 9], copy[70] = "new", "other"  # 90 of 110 shingles: 81.8 %
+        less[15], less[45], less[80] = "one", "two", "three"  # 85 of 115: 73.9 %
+        rows += [(3 * k + n, " ".join(words)) for n, words in enumerate([base, copy, less])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in neardup.keep_one(df, 80).collect()}
+    assert left == {i for i, _, _, first in expected(rows, 80) if first} == {3 * k + n for k in range(60) for n in (0, 2)}
+
+
+def test_half_keys_follow_the_threshold():
+    missed = lambda percent: 1 - (1 - (1 - (percent / 100) ** neardup.ROWS) ** neardup.side(percent)) ** 2
+    assert neardup.side(85) == neardup.SIDE == 10
+    assert all(missed(p) <= missed(85) * (1 + 1e-9) for p in (60, 70, 80, 84, 90, 100))
+
+
 def test_query(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     out = registered.QUERIES["op8_neardup"](spark, data)
