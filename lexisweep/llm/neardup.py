@@ -123,30 +123,30 @@ def _proposed(classes, percent):
     )
 
 
+def _texts_of(docs, wanted):
+    """``wanted`` with the text of its (doc_id, text_digest): many rows may have one
+    id, or none, but a class is met only by rows equal to its representative."""
+    ids = wanted.withColumnsRenamed({"doc_id": "__id", "text_digest": "__digest"})
+    texts = docs.select("doc_id", "text", text_digest().alias("__own"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    return texts.join(ids, same).select("class", "cluster", "members", "text")
+
+
 def _sets_of(docs, wanted):
-    """(class, cluster, members, values) for ``wanted`` (those and doc_id, digest),
-    from the texts; a class may come more than once if rows are repeated."""
+    """(class, cluster, members, values) for ``wanted`` (those and doc_id,
+    text_digest), from the texts; a class may come more than once if rows are
+    repeated."""
 
     def sets(batches):
-        import xxhash
-
         for batch in batches:
-            kept, values = [], []
-            for row, (text, digest) in enumerate(zip(batch.column("text"), batch.column("digest"))):
-                found = shingle_set(text.as_py())
-                if xxhash.xxh3_128_digest(found.tobytes()) == digest.as_py():
-                    kept.append(row)
-                    values.append(found.view(numpy.int64))
+            values = [shingle_set(text.as_py()).view(numpy.int64) for text in batch.column("text")]
             names = ["class", "cluster", "members"]
-            at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(at) for n in names), pa.array(values, pa.list_(pa.int64()))],
+                [*(batch.column(n) for n in names), pa.array(values, pa.list_(pa.int64()))],
                 [*names, "values"],
             )
 
-    ids = wanted.withColumnRenamed("doc_id", "__id")
-    found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return found.select("class", "cluster", "members", "text", "digest").mapInArrow(
+    return _texts_of(docs, wanted).mapInArrow(
         sets, "class bigint, cluster bigint, members bigint, values array<bigint>"
     )
 
@@ -263,7 +263,7 @@ def _class_components(docs, classes, percent):
     sized = staged(
         join_facts(clusters, staged(facts, "sizes"), "cluster", "members"), "clusters"
     )
-    wanted = classes.select("class", "doc_id", "digest").join(sized, "class")
+    wanted = classes.select("class", "doc_id", "text_digest").join(sized, "class")
     sets = staged(_sets_of(docs, wanted), "sets")
     small = sets.filter(F.col("members") <= BLOCK)
     bins = 1 + sized.count() // BLOCK
@@ -308,14 +308,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``doc_id`` and ``text`` are read.
     """
     rows = staged(_sketched(docs, percent), "sketches")
+    # A null id comes after all others.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest")
     classes = staged(
         rows.filter("digest is not null")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(row).alias("one"),
             F.first("halves").alias("halves"),
             F.count(F.lit(1)).alias("rows"),
         )
+        .select("digest", "one.doc_id", "one.text_digest", "halves", "rows")
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )

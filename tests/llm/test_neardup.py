@@ -108,6 +108,28 @@ def test_empty_and_null_ids(spark):
     assert got == [("3", 1, "3", True), ("None", 0, "None", True), ("None", 1, "3", False), ("None", 1, "None", True)]
 
 
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_of_one_id_meet_their_own_class(spark, monkeypatch, one_id):
+    counts = []
+
+    def counted(docs, wanted, real=neardup._sets_of):
+        sets = real(docs, wanted)
+        counts.append((wanted.count(), neardup._texts_of(docs, wanted).count(), sets.select("class").distinct().count()))
+        return sets
+
+    monkeypatch.setattr(neardup, "_sets_of", counted)
+    rows = list({t: (i, t) for i, t in corpus(30) if (t or "").strip()}.values())
+    df = spark.createDataFrame([(one_id, t) for _, t in rows], "doc_id long, text string")
+    out = neardup.near_duplicates(df)
+    groups = out.groupBy("component").count().collect()
+    want = defaultdict(int)
+    for _, _, least, _ in expected(rows):
+        want[least] += 1
+    assert sorted(r["count"] for r in groups) == sorted(want.values())
+    assert [a for a, _, _ in counts] == [b for _, b, _ in counts] == [c for *_, c in counts]
+    assert counts[0][0] > 20
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c", "x"), (3, "A b  c", "y"), (3, "a b C", "z"), (3, "a b C", "z"), (None, "", "e"), (7, None, "n"), (7, None, "n"), (None, "q r", "u"), (None, "Q r", "v")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component string")
