@@ -38,6 +38,32 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> Data
     return joined.select(*rows.columns, *(fact[c].alias(c) for c in values))
 
 
+# Words of 64 bits in the largest filter of ``maybe_in``: 2 ** 21 rows are broadcast.
+FILTER_WORDS = 1 << 21
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``wanted``, and a few others.
+
+    A Bloom filter spares a join the rows that it would drop, before they are
+    shuffled; the join itself has to follow.  A key sets four bits of one word;
+    the words, at most FILTER_WORDS, are broadcast.  Beyond some 4 * FILTER_WORDS
+    keys more and more other rows pass, none that is wanted is ever lost.
+    ``wanted`` is read twice: pass a staged table.
+    """
+    count = wanted.count()
+    words = 1024
+    while words < FILTER_WORDS and words * 4 < count:
+        words *= 2
+    hashed = F.xxhash64(key)
+    slot = F.pmod(hashed, F.lit(words)).cast("int").alias("__slot")
+    of = "shiftleft(1L, cast(shiftright(xxhash64(`{key}`), {by}) & 63 as int))"
+    bits = F.expr(" | ".join(of.format(key=key, by=by) for by in (24, 33, 42, 51))).alias("__bits")
+    filled = wanted.select(slot, bits).groupBy("__slot").agg(F.bit_or("__bits").alias("__word"))
+    held = rows.select("*", slot, bits).join(F.broadcast(filled), "__slot")
+    return held.filter("(__word & __bits) = __bits").select(*rows.columns)
+
+
 def numbered(rows: DataFrame, groups, order, out: str) -> DataFrame:
     """Number rows from 0 without gaps in each of ``groups``, which may be huge.
 

@@ -82,3 +82,50 @@ select t.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind =
        coalesce(string_agg(written, ',' order by start, kind) filter (kind < 3 or live), '') as spans,
        count(*) filter (live) as n_live
 from texts t left join judged using (doc_id) group by t.doc_id"""
+
+
+FILTERS = r"""with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                     lambda w: w <> '') as words
+  from documents),
+firsts as (select text, min(doc_id) as first from texts group by text),
+fails as (
+  select part, {
+    A: len(words) < 50,
+    B: 100 * len(list_distinct(words)) < 65 * len(words),
+    C: 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    D: regexp_matches(text, '[#$%&*|]'),
+    E: first < doc_id} as f,
+    doc_id in (select doc_id from labels where quality = 1) as good,
+    doc_id in (select doc_id from labels where toxic = 1) as toxic
+  from texts join firsts using (text)),
+each as (
+  select part, good, toxic, concat(if(f.A, 'A', ''), if(f.B, 'B', ''), if(f.C, 'C', ''),
+         if(f.D, 'D', ''), if(f.E, 'E', '')) as failed
+  from fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (
+  select filter_order, step, filter_order[step] as own, filter_order[:step - 1] as earlier
+  from orders, (select unnest(range(1, 6))::int as step)),
+tested as (
+  select *, contains(failed, own) as fails_own,
+         earlier <> '' and failed <> '' and
+           translate(failed, earlier, '') <> failed as gone
+  from each, steps),
+counted as (
+  select part, filter_order, step, own,
+    count(*) filter (not fails_own and not gone) as kept,
+    count(*) filter (fails_own and not gone) as removed,
+    count(*) filter (fails_own and gone) as redundant,
+    count(*) filter (failed = own) as unique_fails,
+    count(*) filter (fails_own and not gone and good) as good_lost,
+    count(*) filter (fails_own and not gone and toxic) as toxic_lost
+  from tested group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, own))::bigint as shapley
+from counted"""

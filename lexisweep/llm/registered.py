@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexisweep.llm import (
     bpe,
+    filter_audit,
     fingerprints,
     neardup,
     neighbours,
@@ -110,3 +111,9 @@ def op7_toxicity(spark, folder):
 def op1_neighbours(spark, folder):
     """The 20 nearest of every 20th embedding."""
     return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@register(oracles.FILTERS)
+def op13_filter_audit(spark, folder):
+    """Five filters of documents in all 120 orders, by source."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
