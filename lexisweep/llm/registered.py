@@ -14,6 +14,7 @@ from lexisweep.llm import (
     neighbours,
     oracles,
     packing,
+    private_data,
     quality,
     repeats,
     secrets,
@@ -117,3 +118,9 @@ def op1_neighbours(spark, folder):
 def op13_filter_audit(spark, folder):
     """Five filters of documents in all 120 orders, by source."""
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register()
+def op12_private(spark, folder):
+    """Spans of personal data in every document."""
+    return private_data.digests(private_data.find_private(table(spark, folder, "documents")))
