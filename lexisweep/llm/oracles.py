@@ -129,3 +129,50 @@ counted as (
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) over (partition by part, own))::bigint as shapley
 from counted"""
+
+
+_LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+# The remainders of one byte, bit by bit, and then of bytes of text.
+_CRC_BIT = "if(r % 2 = 1, xor(r // 2, 3988292384), r // 2)"
+SPELLING = rf"""with recursive bits as (
+  select range as byte, 0 as k, range::ubigint as r from range(256)
+  union all select byte, k + 1, {_CRC_BIT} from bits where k < 8),
+remainders as (select list(r order by byte) as of_byte from bits where k = 8),
+runs as (
+  select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (
+  select doc_id, translate(run, {_LOWER}) as run, count(*) as n
+  from runs where length(run) >= 7 group by all),
+spelt as (
+  select run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as code from counted),
+hashed as (
+  select run, n, xor(list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(range(1, length(code), 2),
+      lambda i: ('0x' || code[i:i + 1])::ubigint)),
+    lambda r, byte: xor(r // 256, of_byte[(xor(r, byte) % 256 + 1)::bigint])), 4294967295) as h
+  from spelt, remainders),
+erred as (
+  select n, if(h % 31 = 0, run[:(h % length(run))::bigint] || run[(h % length(run))::bigint + 2:], run) as word
+  from hashed),
+words as (
+  select word, sum(n)::bigint as n from erred
+  where length(word) >= 7 group by word having sum(n) >= 2),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+holes as (select word, n, i, word[:i - 1] || word[i + 1:] as rest from places),
+pairs as (
+  select a.word, b.word as near, b.n from holes a join holes b
+    on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select holes.word, words.word, words.n from holes join words on rest = words.word
+  union select words.word, holes.word, holes.n from holes join words on rest = words.word),
+nearest as (
+  select word, count(*) as n_near, max(n) as most from pairs group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, if(most >= 10 * w.n, most, null) as form_n,
+    (select min(near) from pairs p where p.word = w.word and p.n = most and most >= 10 * w.n) as form
+  from words w left join nearest using (word)),
+paths as (
+  select word, word as here, form as onward from forms
+  union all select paths.word, forms.word, forms.form
+  from paths join forms on onward = forms.word)
+select word, form, here as root, n, n_near, form_n
+from forms join (select word, here from paths where onward is null) using (word)"""

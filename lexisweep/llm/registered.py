@@ -19,6 +19,7 @@ from lexisweep.llm import (
     repeats,
     secrets,
     sharding,
+    spelling,
     toxicity,
 )
 
@@ -124,3 +125,9 @@ def op13_filter_audit(spark, folder):
 def op12_private(spark, folder):
     """Spans of personal data in every document."""
     return private_data.digests(private_data.find_private(table(spark, folder, "documents")))
+
+
+@register(oracles.SPELLING)
+def op11_spelling(spark, folder):
+    """Words of all documents, each with the form that it is a variant of."""
+    return spelling.variants(table(spark, folder, "documents"))

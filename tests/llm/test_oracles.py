@@ -28,4 +28,4 @@ def test_secrets_sql(data):
 
 
 def test_registered():
-    assert set(registered.ORACLES) == {"op5_secrets", "op8_neardup", "op13_filter_audit"}
+    assert set(registered.ORACLES) == {"op5_secrets", "op8_neardup", "op11_spelling", "op13_filter_audit"}
