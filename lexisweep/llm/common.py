@@ -28,9 +28,11 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> Data
     cold = packed.join(F.broadcast(hot.select(key)), key, "left_anti").select(
         F.col(key).alias("__key"), F.lit(-1).alias("__spread"), F.col("__fact").alias("__cold")
     )
+    # Of the row itself, so that a task which runs again deals it out alike.
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(65536)).cast("int")
     marked = rows.join(F.broadcast(hot), key, "left").withColumn(
         "__spread",
-        F.when(F.col("__fact").isNull(), -1).otherwise((F.rand(7) * 65536).cast("int")),
+        F.when(F.col("__fact").isNull(), -1).otherwise(spread),
     )
     on = (F.col(key) == F.col("__key")) & (marked["__spread"] == cold["__spread"])
     joined = marked.join(cold, on, "left")

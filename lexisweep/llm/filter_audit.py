@@ -108,7 +108,8 @@ def _repeated(rows, marked):
         .select("digest"),
         "several",
     )
-    texts = maybe_in(rows, several, "digest")
+    # Written, or the optimiser pulls the join below the filter and moves all texts.
+    texts = staged(maybe_in(rows, several, "digest"), "texts")
     firsts = staged(texts.groupBy("digest", "text").agg(F.min("doc_id").alias("first")), "firsts")
     theirs = firsts.select(F.col("digest").alias("its"), F.col("text").alias("same"), "first")
     found = (

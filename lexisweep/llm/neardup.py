@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexisweep.llm.common import join_facts, numbered, text_digest
+from lexisweep.llm.common import join_facts, maybe_in, numbered, text_digest
 from lexisweep.llm.components import components
 from lexisweep.llm.shingles import (
     Forest,
@@ -125,10 +125,13 @@ def _proposed(classes, percent):
 
 def _texts_of(docs, wanted):
     """``wanted`` with the text of its (doc_id, text_digest): many rows may have one
-    id, or none, but a class is met only by rows equal to its representative."""
+    id, or none, but a class is met only by rows equal to its representative.  Only
+    texts that may be wanted are shuffled."""
     ids = wanted.withColumnsRenamed({"doc_id": "__id", "text_digest": "__digest"})
-    texts = docs.select("doc_id", "text", text_digest().alias("__own"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    texts = maybe_in(
+        docs.select("doc_id", "text", text_digest().alias("text_digest")), wanted, "text_digest"
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_digest") == F.col("__digest"))
     return texts.join(ids, same).select("class", "cluster", "members", "text")
 
 
@@ -264,6 +267,7 @@ def _class_components(docs, classes, percent):
         join_facts(clusters, staged(facts, "sizes"), "cluster", "members"), "clusters"
     )
     wanted = classes.select("class", "doc_id", "text_digest").join(sized, "class")
+    wanted = staged(wanted, "wanted")
     sets = staged(_sets_of(docs, wanted), "sets")
     small = sets.filter(F.col("members") <= BLOCK)
     bins = 1 + sized.count() // BLOCK

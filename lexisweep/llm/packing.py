@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisweep.llm.common import numbered
-from lexisweep.llm.words import words
+from lexisweep.llm.words import KEPT, words
 from lexisweep.staging import staged
 
 # Bins of lengths, and documents of a pattern at most.
@@ -30,11 +30,14 @@ BINS = 128
 FEW = 4
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, capacity: int, end: int = 0, ids: bool = False, kept: int = KEPT
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row of ``docs``.
 
     A document is its text's ids and the id ``end``; a null text is empty.  Only
-    longer documents are cut, into pieces of ``capacity`` ids.
+    longer documents are cut, into pieces of ``capacity`` ids.  ``kept`` bounds the
+    bytes of words that a Python worker remembers.
     """
     schema = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint".format(
         docs.schema["doc_id"].dataType.simpleString()
@@ -42,7 +45,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, ids: bool =
     width, last = 4 * capacity, int(end).to_bytes(4, "little")
 
     def cut(batches):
-        encode = words(path).encode
+        encode = words(path, kept).encode
         for batch in batches:
             rows, columns = [], [[] for _ in range(4 + ids)]
             for row, text in enumerate(batch.column("text")):
@@ -227,11 +230,11 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int, kept: int = KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), per piece.
 
     Every row of ``docs`` has at least one piece: an empty or null text is the
     end id alone.  Repeated rows and null ids are packed like others.  An empty
     table gives an empty one.  Only ``doc_id`` and ``text`` are read.
     """
-    return pack(staged(pieces(docs, path, capacity), "pieces"), capacity)
+    return pack(staged(pieces(docs, path, capacity, kept=kept), "pieces"), capacity)

@@ -54,8 +54,9 @@ LABELLERS = [
 FEW = 8
 
 
-def measures(text):
-    """The labellers' quantities, and the hashed features (counts per bucket)."""
+def measures(text, described=True):
+    """The labellers' quantities, the number of words, and the hashed features
+    (counts per bucket) unless ``described`` is false."""
     raw = numpy.frombuffer((text or "").encode(), dtype=numpy.uint8)
     words = word_hashes(text or "")
     n = len(words)
@@ -82,6 +83,8 @@ def measures(text):
             float(((raw[1:] == raw[:-1]) & (kinds[1:] >= 4)).sum()) / every,
         ]
     )
+    if not described:
+        return values, n, None
     pairs = kinds[:-1] * _KINDS + kinds[1:] if len(kinds) > 1 else kinds[:0]
     found, times = numpy.unique(pairs, return_counts=True)
     steps = numpy.minimum((values * 20).astype(int), 20) + 32 * numpy.arange(1, len(values) + 1)
@@ -167,7 +170,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def cast(batches):
         for batch in batches:
-            found = [votes(*measures(t.as_py())[:2]) for t in batch.column("text")]
+            found = [votes(*measures(t.as_py(), False)[:2]) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(found, pa.string())], ["key", "votes"]
             )

@@ -186,13 +186,13 @@ def _without(text, cuts):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated sentences cut from ``text``, and ``cut_chars``.
 
-    Rows and columns stay; a null text stays null, an empty one empty, and a text
+    Rows and columns stay, but for a given ``cut_chars``, which is replaced; a null text stays null, an empty one empty, and a text
     all of which stands elsewhere first becomes empty.  Places of equal rows
     (same id, same text) are one occurrence, so repeated rows get the same result
     and do not empty each other; rows with a null id come last.  An empty table
     gives an empty one.
     """
-    names = docs.columns
+    names = [n for n in docs.columns if n != "cut_chars"]
     cuts = repeated_places(docs).withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
     cuts = staged(cuts, "cuts").dropDuplicates(["__id", "__digest"])
     packed = docs.select(F.struct(*names).alias("__doc"), text_digest().alias("__own"))

@@ -10,8 +10,12 @@ import re
 
 import numpy
 
-# Words whose ids a task keeps before it starts anew.
-KEPT = 1_000_000
+# Bytes of words and ids in either of the two generations that a worker keeps, for as
+# long as it lives.  Fewer cost time: words are encoded again.
+KEPT = 100 << 20
+
+# What an entry takes beside its characters and ids.
+_ENTRY = 200
 
 # Characters that Python's str.split() takes for white space and
 # the tokenizer does not.
@@ -20,7 +24,7 @@ _TAIL = ".,;:!?"
 
 
 class Words:
-    def __init__(self, path):
+    def __init__(self, path, kept=KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,7 +34,8 @@ class Words:
         self.ends = numpy.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
-        self.known = {}
+        self.kept = kept
+        self.known, self.older, self.size = {}, {}, 0
 
     def encode(self, text) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -39,14 +44,21 @@ class Words:
         words = text.split()
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) > KEPT:
-                self.known = {}
-                found = [None] * len(words)
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            found = map(self.known.__getitem__, words)
+            self._recall({w for w, ids in zip(words, found) if ids is None})
+            found = list(map(self.known.__getitem__, words))
+            if self.size > self.kept:  # what is not met again before the next time goes
+                self.known, self.older, self.size = {}, self.known, 0
         return b"".join(found)
 
-    def _learn(self, words):
+    def _recall(self, words):
+        """Words from the older generation, or else from the tokenizer."""
+        older = {w: self.older[w] for w in words if w in self.older}
+        self.known.update(older)
+        if len(older) < len(words):
+            self._look_up(words - older.keys())
+        self.size += _ENTRY * len(words) + 2 * sum(map(len, words))
+
+    def _look_up(self, words):
         """Letters followed by signs split between the two; letters alone are
         encoded many at a time."""
         known, letters, others, cut = self.known, set(), set(), {}
@@ -87,5 +99,5 @@ def _packed(ids):
 
 
 @functools.lru_cache(maxsize=2)
-def words(path) -> Words:
-    return Words(path)
+def words(path, kept=KEPT) -> Words:
+    return Words(path, kept)

@@ -67,6 +67,28 @@ def test_components(spark):
     assert sorted(map(tuple, out)) == sorted((x, forest.root(x)) for x in nodes)
 
 
+def test_components_take_few_jobs(spark):
+    links = spark.range(3000).selectExpr("id as u", "id + 1 as v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        out = components(links).collect()
+        jobs = len(tracker.getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {c for _, c in map(tuple, out)} == {0} and len(out) == 3001
+    assert jobs < 30, jobs
+
+
+def test_components_of_scattered_links(spark, monkeypatch):
+    from lexisweep.llm import components as module
+
+    monkeypatch.setattr(module, "RUN", 4)
+    links = spark.range(600).selectExpr("id as u", "id + 1 as v").filter("u % 100 != 99")
+    out = components(links.repartition(8)).collect()
+    assert sorted(map(tuple, out)) == sorted((k, k // 100 * 100) for k in range(600))
+
+
 def corpus(copies):
     """Chains of edits, a large group of near copies, exact copies, and edges."""
     rng = random.Random(1)

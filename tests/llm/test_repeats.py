@@ -122,3 +122,10 @@ def test_long_sentences_fall_in_step(spark):
         assert all(n for n, c in zip(narrow, cut) if c)
         assert sum(w and not c for w, c in zip(wide, cut)) <= 40
         assert sum(wide) == 0 or sum(cut) >= sum(wide) / 2
+
+
+def test_a_given_cut_chars_is_replaced(spark):
+    text = "One long sentence stands here with many words. Another long one follows it at once."
+    docs = spark.createDataFrame([(1, text, "x"), (2, text, "x")], "doc_id long, text string, cut_chars string")
+    out = {r["doc_id"]: r["cut_chars"] for r in repeats.remove_repeats(docs).collect()}
+    assert out == {1: 0, 2: len(text)}
