@@ -20,10 +20,14 @@ from lexisweep.llm.packing import pack_documents
 from lexisweep.llm.quality import keep_good
 from lexisweep.llm.repeats import remove_repeats
 from lexisweep.llm.secrets import mask_secrets
-from lexisweep.staging import staged
+from lexisweep.staging import inner_tables, staged
 
 CAPACITY = 2048
 
+# Bytes of words that a Python worker remembers in the last stage: less than packing
+# alone takes, because the stages before have grown the executors.
+KEPT_WORDS = 24 << 20
+
 # The scorer, minhashes and the plan of sequences are beyond SQL; the stages are
 # tested against brute-force versions in tests/llm.
 ORACLE_SQL = None
@@ -55,7 +59,7 @@ def secrets(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(docs, path, CAPACITY)
+    return pack_documents(docs, path, CAPACITY, KEPT_WORDS)
 
 
 STAGES = [
@@ -70,5 +74,8 @@ STAGES = [
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with inner_tables(spark) as inner:
+            result = stage(spark, docs, sf_dir)
+        docs = staged(result, name)
+        inner.drop()  # what the stage has written for itself
     return STAGES[-1][1](spark, docs, sf_dir)

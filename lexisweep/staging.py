@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,29 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class InnerTables:
+    """The tables staged while a ``inner_tables`` block ran."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths = []
+
+    def drop(self) -> None:
+        """Delete them, once nothing reads them any more."""
+        for path in self._paths:
+            if path in _staged:
+                release(self._spark, path)
+        self._paths = []
+
+
+@contextmanager
+def inner_tables(spark: SparkSession):
+    """Notes what is staged in the block, so that it can be dropped later."""
+    inner, before = InnerTables(spark), len(_staged)
+    yield inner
+    inner._paths = _staged[before:]
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this application has staged; their readers are void."""
     for path in list(_staged):
