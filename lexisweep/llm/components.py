@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexisweep.llm.shingles import Forest
 from lexisweep.staging import staged
 
-# Links of which a task makes one forest at a time.
+# Links of which a task makes one forest, a few MB.
 RUN = 1 << 18
 
 
@@ -16,16 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v), longs: the component
     is its smallest node.
 
-    Whatever partition links happen to meet in, a forest replaces them by one link
-    per node to the root of its tree; that settles most components, and paths that
-    lie in one partition.  Rounds of large and small stars join what is left.  Each
+    In partitions of about RUN links, a forest replaces the links by one per node, to
+    the root of its tree; that settles most components, and paths that lie in one
+    partition.  Rounds of large and small stars join what is left.  Each
     round writes its links as a table, so lineage stays short.  A node may have most
     of the links: minima combine before the shuffle, and the join that spreads them
     reads written tables, so that Spark can split a hot node's rows.
     """
-    stars = staged(_forests(links), "links")
+    stars = _forests(links)
     while not _are_stars(stars):
-        stars = staged(_forests(_small_star(_large_star(stars))), "links")
+        stars = _forests(_small_star(_large_star(stars)))
     # Partitions may have found the same link.
     once = stars.distinct()
     return once.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -34,7 +34,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _forests(links):
-    """Falling links (node, root) of spanning forests of the links of each partition."""
+    """Falling links (node, root) of spanning forests of the links of each partition,
+    staged.  Links are written first, so that their number can size the partitions."""
+    links = staged(links.select("u", "v"), "found")
+    parts = 1 + links.count() // RUN
 
     def trees(batches):
         held, size = [], 0
@@ -47,7 +50,7 @@ def _forests(links):
         if size:
             yield _trees(held)
 
-    return links.select("u", "v").mapInArrow(trees, "u bigint, v bigint")
+    return staged(links.coalesce(parts).mapInArrow(trees, "u bigint, v bigint"), "links")
 
 
 def _trees(batches):
