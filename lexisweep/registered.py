@@ -21,7 +21,12 @@ from lexisweep.operators.score import filter_min_matches, score_pages
 from lexisweep.plans import prepare as prepare_plan
 from lexisweep.plans import search
 from lexisweep.schema import ROWS_PER_CHUNK
-from lexisweep.sources.chunk_files import read_chunk_corpus, read_chunks, write_chunks
+from lexisweep.sources.chunk_files import (
+    read_chunk_corpus,
+    read_chunk_sizes,
+    read_chunks,
+    write_chunks,
+)
 from lexisweep.sources.dataset import OpenDataset, dataset_head
 from lexisweep.sources.dump import read_dump, write_dump
 from lexisweep.staging import new_path, staged
@@ -462,6 +467,25 @@ def write_chunks_(spark, folder):
     )
 
 
+@register(
+    f"""with {DOCS} select chunk_id, title, text,
+         row_number() over (partition by chunk_id order by seq) - 1 as position from docs
+       qualify chunk_id in (1, 3) or chunk_id >= 5 and position < 40"""
+)
+def read_some_chunks(spark, folder):
+    """Only the files of the chunks asked for are opened."""
+    prefix = _chunk_prefix(spark, folder)
+    last = F.max("chunk_id").alias("last")
+    n_chunks = 1 + read_chunk_sizes(spark, prefix).agg(last).first()["last"]
+    position = F.col("seq") - F.col("chunk_id") * F.lit(ROWS_PER_CHUNK)
+    some = read_chunks(spark, prefix, (1, 3)).union(
+        read_chunks(spark, prefix, range(5, n_chunks)).filter(position < 40)
+    )
+    return some.select(
+        "chunk_id", "title", decode_text("text").alias("text"), position.alias("position")
+    )
+
+
 @register(
     f"""with {DOCS} select chunk_id, title, text,
          row_number() over (partition by chunk_id order by seq) - 1 as position from docs"""

@@ -10,6 +10,7 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -25,12 +26,19 @@ from pyspark.sql.datasource import (
 
 from lexisweep.functions.codec import decode_blocks
 from lexisweep.schema import ROWS_PER_CHUNK
+from lexisweep.sources.row_ranges import TextBatch, pieces
 
 FORMAT = "chunk_files"
 READ_SCHEMA = "chunk_id int, seq bigint, title string, text binary"
 SIZES_SCHEMA = "chunk_id int, seq bigint, bytes bigint"
 DECODED_SCHEMA = "chunk_id int, seq bigint, title string, text string, bytes bigint"
 BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+
+# Bytes of files that a task reads: a larger file is read by several, small ones are
+# read together unless that leaves cores idle.
+MOST_TASK = 64 << 20
+LEAST_TASK = 1 << 20
 
 # Names and types inside and outside a chunk file.
 SUFFIX = ".rb"
@@ -38,29 +46,35 @@ FILE_FIELDS = (("title", pa.string()), ("text", pa.binary()))
 MAX_TEXT = (1 << 31) - 1  # what the 32-bit offsets of a record batch can address
 
 
-def read_chunks(spark: SparkSession, prefix: str) -> DataFrame:
+def read_chunks(spark: SparkSession, prefix: str, chunks=None) -> DataFrame:
     """``(chunk_id, seq, title, text)`` of the files 0, 1, ... up to the first gap.
 
-    One task per file; ``seq`` is the scan position.
+    ``seq`` is the scan position.  A task holds BATCH_BYTES of text, or one text,
+    whatever the size of a file.  With ``chunks``, numbers of chunks, only their files
+    are opened.  (Spark's pushdown of filters into Python sources is not used: what one
+    query pushes stays for the next query on the same DataFrame, which then lacks rows.)
     """
-    spark.dataSource.register(ChunkFiles)
-    return spark.read.format(FORMAT).load(prefix)
+    return _reader(spark, chunks).load(prefix)
 
 
-def read_chunk_corpus(spark: SparkSession, prefix: str) -> DataFrame:
+def read_chunk_corpus(spark: SparkSession, prefix: str, chunks=None) -> DataFrame:
     """Chunk files of Snappy blocks as a corpus to search: the text decoded,
     ``bytes`` the size of the block.
 
     Decoding in the reader spares the blocks a way into the JVM and back.
     """
-    spark.dataSource.register(ChunkFiles)
-    return spark.read.format(FORMAT).option("decoded", "true").load(prefix)
+    return _reader(spark, chunks).option("decoded", "true").load(prefix)
 
 
-def read_chunk_sizes(spark: SparkSession, prefix: str) -> DataFrame:
-    """``(chunk_id, seq, bytes)`` of chunk files; no text leaves the reader."""
+def read_chunk_sizes(spark: SparkSession, prefix: str, chunks=None) -> DataFrame:
+    """``(chunk_id, seq, bytes)`` of chunk files; of the text only offsets are read."""
+    return _reader(spark, chunks).option("sizes", "true").load(prefix)
+
+
+def _reader(spark, chunks):
     spark.dataSource.register(ChunkFiles)
-    return spark.read.format(FORMAT).option("sizes", "true").load(prefix)
+    reader = spark.read.format(FORMAT).option("tasks", spark.sparkContext.defaultParallelism)
+    return reader if chunks is None else reader.option("chunks", _ranges(chunks))
 
 
 @dataclass(frozen=True)
@@ -124,7 +138,13 @@ class ChunkFiles(DataSource):
         return DECODED_SCHEMA if self._asked("decoded") else READ_SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self._asked("decoded"), self._asked("sizes"))
+        tasks = int(self.options.get("tasks", 1))
+        wanted = self.options.get("chunks")
+        if wanted is not None:
+            wanted = [tuple(map(int, run.split(":"))) for run in wanted.split(",") if run]
+        return _Reader(
+            self.options["path"], self._asked("decoded"), self._asked("sizes"), tasks, wanted
+        )
 
     def _asked(self, option):
         return self.options.get(option, "false") == "true"
@@ -134,49 +154,108 @@ class ChunkFiles(DataSource):
 
 
 @dataclass
-class _ChunkFile(InputPartition):
+class _Piece:
+    """Part ``part`` of ``parts`` of the rows of a chunk file."""
+
     chunk_id: int
     path: str
+    part: int
+    parts: int
+
+
+@dataclass
+class _Task(InputPartition):
+    pieces: list
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, prefix, decoded, sizes):
+    """A large file is read by several tasks, each a range of its rows; a task reads
+    several small ones."""
+
+    def __init__(self, prefix, decoded, sizes, tasks, wanted=None):
         self.prefix = prefix
         self.decoded = decoded
         self.sizes = sizes
+        self.tasks = tasks
+        self.wanted = wanted  # pairs of first and last numbers, or all
 
     def partitions(self):
-        indices = set(_existing(self.prefix))
-        found = []
-        while len(found) in indices:
-            found.append(_ChunkFile(len(found), f"{self.prefix}-{len(found)}{SUFFIX}"))
-        if not found:
+        sizes, chunks = _existing(self.prefix), 0
+        while chunks in sizes:
+            chunks += 1
+        if not chunks:
             raise FileNotFoundError(f"no chunk files for prefix {self.prefix}")
-        return found
+        chosen = range(chunks)
+        if self.wanted is not None:
+            chosen = [k for low, high in self.wanted for k in chosen[low : high + 1]]
+        share = sum(sizes[k] for k in chosen) // self.tasks
+        most = min(max(share, LEAST_TASK), MOST_TASK)
+        tasks, held = [], most
+        for k in chosen:
+            parts = 1 + sizes[k] // MOST_TASK
+            for part in range(parts):
+                if held + sizes[k] // parts > most:
+                    tasks.append(_Task([]))
+                    held = 0
+                tasks[-1].pieces.append(_Piece(k, f"{self.prefix}-{k}{SUFFIX}", part, parts))
+                held += sizes[k] // parts
+        return tasks
 
     def read(self, partition):
-        files, path = fs.FileSystem.from_uri(partition.path)
-        if isinstance(files, fs.LocalFileSystem):
-            files = fs.LocalFileSystem(use_mmap=True)
-        with files.open_input_file(path) as source:
-            batch = pa.ipc.open_file(source).get_batch(0)
-        first = partition.chunk_id * ROWS_PER_CHUNK
-        for start in range(0, batch.num_rows, BATCH_ROWS):
-            part = batch.slice(start, BATCH_ROWS)
-            seq = range(first + start, first + start + part.num_rows)
-            columns = {
-                "chunk_id": pa.array([partition.chunk_id] * part.num_rows, pa.int32()),
-                "seq": pa.array(seq, pa.int64()),
-            }
+        for piece in partition.pieces if partition else ():
+            files, path = fs.FileSystem.from_uri(piece.path)
+            if isinstance(files, fs.LocalFileSystem):
+                files = fs.LocalFileSystem(use_mmap=True)
+            with files.open_input_file(path) as source:
+                yield from self._rows(piece, source)
+
+    def _rows(self, piece, source):
+        file = pa.ipc.open_file(source)
+        batch = TextBatch(source, file.schema)
+        if not batch.plain:  # compressed or with nulls: as a whole, by one task
+            whole = file.get_batch(0) if piece.part == 0 else None
+            for start in range(0, whole.num_rows if whole else 0, BATCH_ROWS):
+                rows = whole.slice(start, BATCH_ROWS)
+                lengths = pc.binary_length(rows.column("text")).cast(pa.int64())
+                yield self._batch(piece, start, lengths, rows.column("title"), rows.column("text"))
+            return
+        first, last = (batch.rows * (piece.part + k) // piece.parts for k in (0, 1))
+        for start in range(first, last, BATCH_ROWS):
+            stop = min(start + BATCH_ROWS, last)
+            offsets = batch.offsets("text", start, stop)
             if self.sizes:
-                columns["bytes"] = pc.binary_length(part.column("text")).cast(pa.int64())
-                yield pa.RecordBatch.from_pydict(columns)
+                yield self._batch(piece, start, pa.array(numpy.diff(offsets), pa.int64()))
                 continue
-            columns["title"], columns["text"] = part.column("title"), part.column("text")
-            if self.decoded:
-                columns["bytes"] = pc.binary_length(columns["text"]).cast(pa.int64())
-                columns["text"] = decode_blocks(columns["text"])
-            yield pa.RecordBatch.from_pydict(columns)
+            titles = batch.column("title", batch.offsets("title", start, stop))
+            for low, high in pieces(offsets, BATCH_BYTES):
+                part = offsets[low : high + 1]
+                lengths = pa.array(numpy.diff(part), pa.int64())
+                texts = batch.column("text", part)
+                yield self._batch(piece, start + low, lengths, titles.slice(low, high - low), texts)
+
+    def _batch(self, piece, start, lengths, titles=None, texts=None):
+        first = piece.chunk_id * ROWS_PER_CHUNK + start
+        columns = {
+            "chunk_id": pa.array(numpy.full(len(lengths), piece.chunk_id, numpy.int32)),
+            "seq": pa.array(numpy.arange(first, first + len(lengths))),
+        }
+        if not self.sizes:
+            columns["title"] = titles
+            columns["text"] = decode_blocks(texts) if self.decoded else texts
+        if self.sizes or self.decoded:
+            columns["bytes"] = lengths
+        return pa.RecordBatch.from_pydict(columns)
+
+
+def _ranges(chunks):
+    """Numbers as text: runs of them as pairs."""
+    runs = []
+    for k in sorted(set(chunks)):
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return ",".join(f"{low}:{high}" for low, high in runs)
 
 
 @dataclass
@@ -242,7 +321,7 @@ class _Writer(DataSourceArrowWriter):
         files, prefix = fs.FileSystem.from_uri(self.prefix)
         for chunk, path in written:
             files.move(path, f"{prefix}-{chunk}{SUFFIX}")
-        for index in _existing(self.prefix):
+        for index in sorted(_existing(self.prefix)):
             if index >= count:
                 files.delete_file(f"{prefix}-{index}{SUFFIX}")
         self._drop_run_folder()
@@ -257,12 +336,13 @@ class _Writer(DataSourceArrowWriter):
 
 
 def _existing(prefix):
-    """Numbers of the chunk files of a prefix."""
+    """{number: bytes} of the chunk files of a prefix."""
     files, path = fs.FileSystem.from_uri(prefix)
     folder, _, name = path.rpartition("/")
     pattern = re.compile(re.escape(name) + r"-(0|[1-9]\d*)" + re.escape(SUFFIX))
     listing = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    return sorted(int(m[1]) for info in listing if (m := pattern.fullmatch(info.base_name)))
+    found = ((pattern.fullmatch(info.base_name), info.size) for info in listing)
+    return {int(match[1]): size for match, size in found if match}
 
 
 def _decoded(metadata):

@@ -327,3 +327,97 @@ def test_shared_folder_setting(spark, tmp_path):
 
     with pytest.raises(ValueError):
         shared_folder(Cluster)
+
+
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, path):
+        self.file, self.bytes = open(path, "rb"), 0
+
+    def read(self, size=-1):
+        data = self.file.read(size)
+        self.bytes += len(data)
+        return data
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
+
+
+def chunk_file(tmp_path, rows, number=0, **options):
+    schema = pa.schema([pa.field(n, t, nullable=False) for n, t in chunk_files.FILE_FIELDS])
+    batch = pa.RecordBatch.from_pylist([{"title": t, "text": x} for t, x in rows], schema)
+    path = f"{tmp_path}/set-{number}.rb"
+    with pa.ipc.new_file(path, schema, options=pa.ipc.IpcWriteOptions(**options)) as out:
+        out.write_batch(batch)
+    return path
+
+
+def drained(reader, task):
+    return [row for batch in reader.read(task) for row in batch.to_pylist()]
+
+
+def test_sizes_touch_no_text(tmp_path):
+    path = chunk_file(tmp_path, [(f"t{k}", b"x" * 100_000) for k in range(100)])
+    reader = chunk_files._Reader(f"{tmp_path}/set", False, True, 1)
+    counted = Counted(path)
+    piece = chunk_files._Piece(0, path, 0, 1)
+    rows = [r for b in reader._rows(piece, pa.PythonFile(counted, mode="r")) for r in b.to_pylist()]
+    assert [r["bytes"] for r in rows] == [100_000] * 100
+    assert counted.bytes < 20_000  # of ten million
+
+
+def test_a_large_file_is_read_by_several_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk_files, "MOST_TASK", 10_000)
+    monkeypatch.setattr(chunk_files, "LEAST_TASK", 10_000)
+    monkeypatch.setattr(chunk_files, "BATCH_BYTES", 700)
+    rows = [(f"t{k}", bytes([k % 256]) * (k * 7 % 1500)) for k in range(300)]
+    path = chunk_file(tmp_path, rows)
+    reader = chunk_files._Reader(f"{tmp_path}/set", False, False, 4)
+    tasks = reader.partitions()
+    assert len(tasks) > 10 and all(len(task.pieces) == 1 for task in tasks)
+    read = [row for task in tasks for row in drained(reader, task)]
+    assert [(r["title"], r["text"]) for r in read] == rows
+    assert [r["seq"] for r in read] == list(range(300))
+    for task in tasks:
+        for batch in reader.read(task):
+            assert batch.num_rows == 1 or sum(map(len, batch.column("text").to_pylist())) <= 700
+    # A part reads its own bytes, and little else.
+    counted = Counted(path)
+    list(reader._rows(tasks[3].pieces[0], pa.PythonFile(counted, mode="r")))
+    assert counted.bytes < 2.5 * sum(len(r["text"]) for r in drained(reader, tasks[3])) + 4_000
+
+
+def test_small_files_share_a_task(tmp_path):
+    for number in range(20):
+        chunk_file(tmp_path, [("a", b"1"), ("b", b"")], number)
+    reader = chunk_files._Reader(f"{tmp_path}/set", False, False, 2)
+    [task] = reader.partitions()
+    rows = drained(reader, task)
+    assert [r["chunk_id"] for r in rows] == [k // 2 for k in range(40)]
+    assert [r["text"] for r in rows] == [b"1", b""] * 20
+
+
+@pytest.mark.parametrize("rows", [[], [("", b"")], [("é", b"\0"), ("", b""), ("z", b"abc")]])
+@pytest.mark.parametrize("compression", [None, "zstd"])
+def test_odd_batches(tmp_path, rows, compression):
+    chunk_file(tmp_path, rows, compression=compression)
+    reader = chunk_files._Reader(f"{tmp_path}/set", False, False, 1)
+    [task] = reader.partitions()
+    assert [(r["title"], r["text"]) for r in drained(reader, task)] == rows
+
+
+def test_only_files_asked_for_are_opened(spark, tmp_path):
+    for number in range(12):
+        chunk_file(tmp_path, [(f"{number}", b"1"), ("b", b"22")], number)
+    prefix = f"{tmp_path}/set"
+    for number in (0, 1, 2, 3, 4, 5, 7, 8, 11):
+        with open(f"{prefix}-{number}.rb", "wb") as broken:
+            broken.write(b"broken")
+    ids = lambda df: sorted(r["chunk_id"] for r in df.collect())
+    assert ids(read_chunks(spark, prefix, [6])) == [6, 6]
+    assert ids(read_chunks(spark, prefix, (9, 6, 40, 9))) == [6, 6, 9, 9]
+    assert ids(read_chunk_sizes(spark, prefix, range(9, 11))) == [9, 9, 10, 10]
+    assert ids(read_chunks(spark, prefix, [50])) == ids(read_chunks(spark, prefix, [])) == []
+    with pytest.raises(Exception, match="Arrow"):
+        read_chunks(spark, prefix).collect()
