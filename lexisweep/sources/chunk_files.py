@@ -5,6 +5,7 @@ binary.  Inside Spark prefer Parquet (``dataset``); a chunk here is bounded by
 the 2 GiB that a record batch can address.
 """
 
+import json
 import re
 import uuid
 from collections import Counter
@@ -88,6 +89,7 @@ class ChunkMetadata:
     @classmethod
     def of(cls, prefix: str) -> "ChunkMetadata":
         """As found in the first file of a set."""
+        finish_commit(prefix)
         files, path = fs.FileSystem.from_uri(f"{prefix}-0{SUFFIX}")
         with files.open_input_file(path) as source:
             schema = pa.ipc.open_file(source).schema
@@ -180,6 +182,7 @@ class _Reader(DataSourceReader):
         self.wanted = wanted  # pairs of first and last numbers, or all
 
     def partitions(self):
+        finish_commit(self.prefix)
         sizes, chunks = _existing(self.prefix), 0
         while chunks in sizes:
             chunks += 1
@@ -264,7 +267,12 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Tasks write to a folder of the run; the commit moves what has succeeded."""
+    """Tasks write to a folder of the run; the commit moves what has succeeded.
+
+    What is to be moved is written down in a journal first.  A commit that is stopped
+    half-way is finished by whoever reads or writes the set next, so that nobody sees
+    a mix of two sets; one stopped before the journal is there has changed nothing.
+    """
 
     def __init__(self, options):
         self.prefix = options["path"]
@@ -318,21 +326,61 @@ class _Writer(DataSourceArrowWriter):
         count = max([self.n_chunks, *(chunk + 1 for chunk, _ in written)])
         missing = set(range(count)) - {chunk for chunk, _ in written}
         written += [self._write_file(chunk, []) for chunk in sorted(missing)]
-        files, prefix = fs.FileSystem.from_uri(self.prefix)
-        for chunk, path in written:
-            files.move(path, f"{prefix}-{chunk}{SUFFIX}")
-        for index in sorted(_existing(self.prefix)):
-            if index >= count:
-                files.delete_file(f"{prefix}-{index}{SUFFIX}")
-        self._drop_run_folder()
+        finish_commit(self.prefix)  # an earlier one
+        files, folder = fs.FileSystem.from_uri(self.run)
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/journal") as sink:
+            sink.write(json.dumps({"run": folder, "files": written, "count": count}).encode())
+        files.move(f"{folder}/journal", _journal(self.prefix))
+        finish_commit(self.prefix)
 
     def abort(self, messages):
-        self._drop_run_folder()
-
-    def _drop_run_folder(self):
         files, folder = fs.FileSystem.from_uri(self.run)
-        if files.get_file_info(folder).type == fs.FileType.Directory:
-            files.delete_dir(folder)
+        journal = _read_journal(files, _journal(self.prefix))
+        if journal is None or journal["run"] != folder:  # else it can be finished
+            _drop_folder(files, folder)
+
+
+def finish_commit(prefix: str) -> None:
+    """Finish a commit of chunk files that was stopped after its journal was written.
+
+    Files that are moved already are no longer in the folder of the run, so finishing
+    twice, or by several at once, does no harm.
+    """
+    files, path = fs.FileSystem.from_uri(prefix)
+    plan = _read_journal(files, _journal(prefix))
+    if plan is None:
+        return
+    for chunk, source in plan["files"]:
+        try:
+            _move(files, source, f"{path}-{chunk}{SUFFIX}")
+        except FileNotFoundError:  # moved before
+            pass
+    for index in sorted(_existing(prefix)):
+        if index >= plan["count"]:
+            files.delete_file(f"{path}-{index}{SUFFIX}")
+    files.delete_file(_journal(prefix))
+    _drop_folder(files, plan["run"])
+
+
+def _move(files, source, target):
+    files.move(source, target)
+
+
+def _journal(prefix):
+    return f"{fs.FileSystem.from_uri(prefix)[1]}.commit"
+
+
+def _read_journal(files, path):
+    if files.get_file_info(path).type != fs.FileType.File:
+        return None
+    with files.open_input_stream(path) as source:
+        return json.loads(source.read())
+
+
+def _drop_folder(files, folder):
+    if files.get_file_info(folder).type == fs.FileType.Directory:
+        files.delete_dir(folder)
 
 
 def _existing(prefix):

@@ -421,3 +421,53 @@ def test_only_files_asked_for_are_opened(spark, tmp_path):
     assert ids(read_chunks(spark, prefix, [50])) == ids(read_chunks(spark, prefix, [])) == []
     with pytest.raises(Exception, match="Arrow"):
         read_chunks(spark, prefix).collect()
+
+
+def chunk_set(spark, text, n_chunks):
+    rows = [(k, k * 10, f"t{k}", text) for k in range(n_chunks)]
+    return spark.createDataFrame(rows, "chunk_id int, seq long, title string, text binary")
+
+
+@pytest.mark.parametrize("moved", [0, 1, 3])
+@pytest.mark.parametrize("then", ["read", "write"])
+def test_a_stopped_commit_is_finished(spark, tmp_path, monkeypatch, moved, then):
+    prefix = f"{tmp_path}/set"
+    write_chunks(chunk_set(spark, b"old", 6), prefix)
+    schema = pa.schema([("chunk_id", pa.int32()), ("title", pa.string()), ("text", pa.binary())])
+    batch = pa.RecordBatch.from_pylist(
+        [{"chunk_id": k, "title": f"t{k}", "text": b"new"} for k in range(4)], schema
+    )
+    writer = chunk_files._Writer({"path": prefix})
+    message = writer.write(iter([batch]))
+    moves, move = [], chunk_files._move
+
+    def stopping(files, source, target):
+        if len(moves) == moved:
+            raise OSError("the driver is gone")
+        moves.append(target)
+        move(files, source, target)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(chunk_files, "_move", stopping)
+        with pytest.raises(OSError):
+            writer.commit([message])
+        writer.abort([message])
+    if then == "write":
+        write_chunks(chunk_set(spark, b"newer", 5), prefix)
+    rows = read_chunks(spark, prefix).collect()
+    want = b"new" if then == "read" else b"newer"
+    assert sorted((r.chunk_id, bytes(r.text)) for r in rows) == [
+        (k, want) for k in range(4 if then == "read" else 5)
+    ]
+    assert sorted(os.listdir(tmp_path)) == [f"set-{k}.rb" for k in range(len(rows))]
+
+
+def test_a_commit_stopped_before_its_journal_changes_nothing(spark, tmp_path):
+    prefix = f"{tmp_path}/set"
+    write_chunks(chunk_set(spark, b"old", 2), prefix)
+    writer = chunk_files._Writer({"path": prefix})
+    schema = pa.schema([("chunk_id", pa.int32()), ("title", pa.string()), ("text", pa.binary())])
+    message = writer.write(iter([pa.RecordBatch.from_pylist([{"chunk_id": 0, "title": "t", "text": b"x"}], schema)]))
+    assert {bytes(r.text) for r in read_chunks(spark, prefix).collect()} == {b"old"}
+    writer.abort([message])
+    assert sorted(os.listdir(tmp_path)) == ["set-0.rb", "set-1.rb"]
