@@ -99,7 +99,9 @@ def is_word_char(char) -> Column:
 
 def count_word_chars(text) -> Column:
     """How many characters of a text are word characters."""
-    return F.regexp_count(_column(text), F.lit(_WORD)).cast("bigint")
+    # What is left without the runs of others; word characters are a byte each.
+    words = F.regexp_replace(_column(text), F.lit(f"{_NOT_WORD}+"), F.lit(""))
+    return F.octet_length(words).cast("bigint")
 
 
 def _has_overlap(text: Column, pattern: str, shifts: list[int]) -> Column:

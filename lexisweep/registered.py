@@ -591,14 +591,18 @@ def prepare_order(spark, folder):
     path = new_path(spark, "dumps")
     docs = table(spark, folder, "documents")
     for part in range(3):
-        pages = docs.filter(F.col("doc_id") % 3 == part).coalesce(1).sortWithinPartitions("doc_id")
+        # The names of the files follow the order of their pages.
+        pages = docs.filter(F.col("doc_id") % 3 == part)
+        pages = pages.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
         shaped = pages.selectExpr(
             "concat('p/', doc_id) as title",
             "named_struct('text', named_struct('_VALUE', text, '_space', 'preserve')) as revision",
         )
         write_dump(shaped, f"{path}/{part}")
-    corpus = prepare_plan.prepare(spark, f"{path}/*")
-    return corpus.select("title", F.row_number().over(Window.orderBy("seq")).alias("position"))
+    corpus = prepare_plan.prepare(spark, f"{path}/*").select("seq", "title", "bytes")
+    corpus = staged(corpus, "order")
+    positions = layout.scan_positions(corpus).rows.select("seq", "pos")
+    return corpus.join(positions, "seq").select("title", (F.col("pos") + 1).alias("position"))
 
 
 # Query tables and run logs.
