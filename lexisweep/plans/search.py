@@ -12,6 +12,7 @@ from lexisweep.operators import stats as stat_ops
 from lexisweep.operators.queries import DEFAULTS, Query, of_language, require_known
 from lexisweep.operators.runlog import run_metrics
 from lexisweep.operators.score import filter_min_matches, score_pages
+from lexisweep.plans.query_join import search_table, table_stats
 from lexisweep.schema import CORPUS_KEYS
 from lexisweep.staging import new_path, release, written
 
@@ -128,8 +129,11 @@ def search_batch(corpus: DataFrame, queries) -> DataFrame:
     """``(query_id, <keys>, count)`` of every matching page of every query: for
     each query the rows of :func:`search_hits`.
 
-    ``queries`` is a mapping, or pairs, of id and :class:`Query`.
+    ``queries`` is a mapping, or pairs, of id and :class:`Query`, or a table of
+    queries (see ``query_join``), which may be of any size.
     """
+    if isinstance(queries, DataFrame):
+        return search_table(corpus, queries)
     scored = score_batch(corpus, queries)
     return scored.filter(F.col("count") >= F.col("min_matches")).drop("min_matches")
 
@@ -140,6 +144,8 @@ def batch_stats(corpus: DataFrame, queries) -> DataFrame:
     Totals are added up where the texts are read: a query that matches every page
     costs a row per input batch.
     """
+    if isinstance(queries, DataFrame):
+        return table_stats(corpus, queries)
     pairs, id_type = _pairs(queries)
     shared, ids, spoken = _shipped(corpus, pairs)
     schema = f"query_id {id_type}, words bigint, pages bigint, most bigint, seq bigint, title string"
@@ -182,15 +188,6 @@ def score_batch(corpus: DataFrame, queries) -> DataFrame:
     return pages.mapInArrow(multi_match.pair_counter(shared, ids, keys, spoken), schema)
 
 
-def collect_queries(queries: DataFrame):
-    """Pairs of id and Query from a table (query_id, pattern, whole_words,
-    min_matches, wiki).  The queries of a batch go through the driver, which has
-    to ship them to the tasks anyway."""
-    names = ("pattern", "whole_words", "min_matches", "wiki")
-    for row in queries.select("query_id", *names).toLocalIterator():
-        yield row["query_id"], Query(*(row[name] for name in names))
-
-
 def _pairs(queries):
     """The pairs, and the SQL type of their ids."""
     pairs = list(queries.items() if hasattr(queries, "items") else queries)

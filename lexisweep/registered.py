@@ -770,13 +770,9 @@ def _asked(spark, folder):
     return asked.union(items.selectExpr("concat('item ', item_id)", "text", "false"))
 
 
-def _queries(asked):
-    return list(search.collect_queries(query_ops.normalise_query(asked)))
-
-
 @register(f"{_BATCH} select * from counted")
 def search_batch(spark, folder):
-    return search.search_batch(documents(spark, folder), _queries(_asked(spark, folder)))
+    return search.search_batch(documents(spark, folder), _asked(spark, folder))
 
 
 @register(
@@ -786,7 +782,7 @@ def search_batch(spark, folder):
        from asked left join counted using (query_id) group by query_id"""
 )
 def search_batch_stats(spark, folder):
-    return search.batch_stats(documents(spark, folder), _queries(_asked(spark, folder)))
+    return search.batch_stats(documents(spark, folder), _asked(spark, folder))
 
 
 @register(
@@ -799,14 +795,12 @@ def search_batch_stats(spark, folder):
 def search_batch_languages(spark, folder):
     """Every word asked in every language of the corpus."""
     corpus = table(spark, folder, "documents").selectExpr("doc_id as seq", "text", "lang as wiki")
-    words = _asked(spark, folder).filter("whole_words").select("pattern")
-    wikis = [r["wiki"] for r in corpus.select("wiki").distinct().collect()]
-    pairs = [
-        (f"{wiki} {r['pattern']}", Query(r["pattern"], True, 1, wiki))
-        for r in words.toLocalIterator()
-        for wiki in wikis
-    ]
-    return search.search_batch(corpus, pairs)
+    words = _asked(spark, folder).filter("whole_words").select("pattern", "whole_words")
+    # A row per word and language, of which there are few: languages are copied.
+    wikis = corpus.agg(F.collect_set("wiki").alias("wikis"))
+    asked = words.withColumn("wiki", F.explode(wikis.select("wikis").scalar()))
+    named = asked.withColumn("query_id", F.concat_ws(" ", "wiki", "pattern"))
+    return search.search_batch(corpus, named)
 
 
 @register(
