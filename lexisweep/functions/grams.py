@@ -13,8 +13,8 @@ from lexisweep.functions.multi_match import OUTPUT_ROWS
 
 SIZE = 8
 
-# Bytes of text whose fragments are held at once.
-PIECE = 1 << 20
+# Bytes of text whose fragments are held at once: few enough for a processor's cache.
+PIECE = 1 << 17
 
 # Bits of a filter of fragments: 16 for each, within these bounds (4 MB at most).
 LEAST_BITS, MOST_BITS = 16, 25
@@ -68,11 +68,12 @@ class Filter:
 
     def at(self, grams, size):
         """Places in ``grams`` of those that may be wanted."""
-        found = numpy.arange(len(grams))
+        found = None
         for factor in _FACTORS:
-            places = _places(grams[found], size, self.bits, factor)
+            places = _places(grams if found is None else grams[found], size, self.bits, factor)
             words = self.words[places >> numpy.uint64(6)]
-            found = found[(words >> (places & numpy.uint64(63))) & numpy.uint64(1) == 1]
+            passed = numpy.flatnonzero((words >> (places & numpy.uint64(63))) & numpy.uint64(1))
+            found = passed if found is None else found[passed]
         return found
 
 
@@ -91,33 +92,42 @@ def _bytes(column):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-class Fragment:
-    """What stands at the bytes of one piece of a batch."""
+class Piece:
+    """The fragments that start at the bytes of one piece of a batch."""
 
     def __init__(self, data, offsets, start):
-        stop = min(start + PIECE, len(data))
-        held = numpy.zeros(stop - start + SIZE - 1, dtype=numpy.uint8)
-        there = data[start : stop + SIZE - 1]
+        self.offsets, self.start = offsets, start
+        size = min(PIECE, len(data) - start)
+        # Whole rounds of SIZE starts, and what the last fragments need beyond them.
+        held = numpy.zeros(-(-size // SIZE) * SIZE + SIZE, dtype=numpy.uint8)
+        there = data[start : start + size + SIZE - 1]
         held[: len(there)] = there
-        windows = numpy.lib.stride_tricks.sliding_window_view(held, SIZE)
-        self.grams = numpy.ascontiguousarray(windows).view("<u8").ravel()
-        places = numpy.arange(start, stop)
+        grams = numpy.empty(len(held) - SIZE, dtype="<u8")
+        for k in range(SIZE):
+            grams[k::SIZE] = held[k : len(grams) + k].view("<u8")
+        self.grams = grams[:size]
+
+    def of_size(self, size, chosen=None):
+        """(rows, places in their text, fragments) of those that end within their
+        text and, if there is a filter, pass it."""
+        grams = self.grams & numpy.uint64((1 << (8 * size)) - 1) if size < SIZE else self.grams
+        if chosen is not None:
+            hits = chosen.at(grams, size)
+            grams = grams[hits]
+        else:
+            hits = numpy.arange(len(grams))
+        places = hits + self.start
         # Of several texts that start there, the last one is not empty.
-        self.rows = numpy.searchsorted(offsets, places, side="right") - 1
-        self.at = places - offsets[self.rows]
-        self.left = offsets[self.rows + 1] - places
-
-    def of_size(self, size):
-        """(places in the piece, grams) of fragments that end within their text."""
-        places = numpy.flatnonzero(self.left >= size)
-        mask = (1 << (8 * size)) - 1
-        return places, self.grams[places] & numpy.uint64(mask)
+        rows = numpy.searchsorted(self.offsets, places, side="right") - 1
+        ends = self.offsets[rows + 1] - places >= size
+        rows = rows[ends]
+        return rows, places[ends] - self.offsets[rows], grams[ends]
 
 
 def _pieces(column):
     data, offsets = _bytes(column)
     for start in range(0, len(data), PIECE):
-        yield data, offsets, Fragment(data, offsets, start)
+        yield data, offsets, Piece(data, offsets, start)
 
 
 def pattern_grams(batches):
@@ -126,19 +136,14 @@ def pattern_grams(batches):
     for batch in batches:
         names = batch.column("row")
         for _, offsets, piece in _pieces(batch.column("pattern")):
-            lengths = numpy.diff(offsets)[piece.rows]
-            sizes = numpy.minimum(lengths, SIZE)
-            for size in numpy.unique(sizes).tolist():
-                places, grams = piece.of_size(size)
-                mine = sizes[places] == size
-                places, grams = places[mine], grams[mine].view(numpy.int64)
+            lengths = numpy.minimum(numpy.diff(offsets), SIZE)
+            for size in numpy.unique(lengths[lengths > 0]).tolist():
+                rows, at, grams = piece.of_size(size)
+                mine = lengths[rows] == size
+                rows, at, grams = rows[mine], at[mine], grams[mine].view(numpy.int64)
+                sizes = pa.array(numpy.full(len(rows), size, numpy.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        names.take(pa.array(piece.rows[places])),
-                        pa.array(numpy.full(len(places), size, numpy.int32)),
-                        pa.array(piece.at[places]),
-                        pa.array(grams),
-                    ],
+                    [names.take(pa.array(rows)), sizes, pa.array(at), pa.array(grams)],
                     ["row", "size", "offset", "gram"],
                 )
 
@@ -151,8 +156,8 @@ def gram_counter(shared):
         chosen = shared.value
         for batch in batches:
             for _, _, piece in _pieces(batch.column("text")):
-                _, grams = piece.of_size(SIZE)
-                grams, n = numpy.unique(grams[chosen.at(grams, SIZE)], return_counts=True)
+                *_, grams = piece.of_size(SIZE, chosen)
+                grams, n = numpy.unique(grams, return_counts=True)
                 columns = [pa.array(grams.view(numpy.int64)), pa.array(n.astype(numpy.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["gram", "n"])
 
@@ -172,10 +177,8 @@ def gram_finder(shared, keys):
         for batch in batches:
             for data, offsets, piece in _pieces(batch.column("text")):
                 for size in chosen.sizes:
-                    places, grams = piece.of_size(size)
-                    hit = chosen.at(grams, size)
-                    places, grams = places[hit], grams[hit].view(numpy.int64)
-                    rows, at = piece.rows[places], piece.at[places]
+                    rows, at, grams = piece.of_size(size, chosen)
+                    grams = grams.view(numpy.int64)
                     if size == SIZE:
                         ones = numpy.ones(len(rows), numpy.int64)
                         columns = rows, grams, at, ones, ones
