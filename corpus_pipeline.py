@@ -28,36 +28,50 @@ CAPACITY = 2048
 # alone takes, because the stages before have grown the executors.
 KEPT_WORDS = 24 << 20
 
+# Bytes of texts that go to a Python worker at once.  Spark's own bound is 64 MB, held
+# outside the heap by the executor and again by each worker, beside what stages keep.
+BATCH_BYTES = "4m"
+
 # The scorer, minhashes and the plan of sequences are beyond SQL; the stages are
 # tested against brute-force versions in tests/llm.
 ORACLE_SQL = None
 
 
+def _bounded(spark):
+    """Sets the session's bound for batches; a stage's rows are computed later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _counted(docs):
     """With ``n_chars`` of the present text."""
     return docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def quality(spark, docs, sf_dir):
+    _bounded(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
+    _bounded(spark)
     return keep_one(docs)
 
 
 def repeats(spark, docs, sf_dir):
+    _bounded(spark)
     cut = remove_repeats(docs)
     nothing_left = (F.col("cut_chars") > 0) & (F.trim("text") == "")
     return _counted(cut.filter(~F.coalesce(nothing_left, F.lit(False))).select(*docs.columns))
 
 
 def secrets(spark, docs, sf_dir):
+    _bounded(spark)
     repository = F.concat_ws("/", "source", "lang")
     return _counted(mask_secrets(docs, F.col("source"), repository))
 
 
 def packing(spark, docs, sf_dir):
+    _bounded(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(docs, path, CAPACITY, KEPT_WORDS)
 
