@@ -26,8 +26,9 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-# Characters of a leaf, and of the first window on either side of a seam.
-LEAF = 4096
+# Characters of a leaf, so that most documents have seams, and of the first window on
+# either side of a seam.
+LEAF = 512
 WINDOW = 32
 
 # Bytes of text whose ids a task holds at once; a longer text comes alone.
