@@ -65,3 +65,30 @@ def test_query(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     sizes = check(rows, registered.QUERIES["op6_sharding"](spark, data).collect(), 8)
     assert max(sizes) - min(sizes) <= 2
+
+
+def plain_difference(items, parts):
+    """Differencing on sets: the (item, bin) pairs of each final part, fullest first."""
+    partials = []
+    for number, sums in enumerate(items):
+        bins = [(value, {(number, k)}) for k, value in enumerate(sums)]
+        partials.append((number, sorted(bins, key=lambda b: -b[0])))
+    made = len(items)
+    while len(partials) > 1:
+        partials.sort(key=lambda p: (p[1][-1][0] - p[1][0][0], p[0]))
+        (_, a), (_, b) = partials[:2]
+        both = [(x + y, s | t) for (x, s), (y, t) in zip(a, reversed(b))]
+        partials[:2] = [(made, sorted(both, key=lambda b: -b[0]))]
+        made += 1
+    return [pairs for _, pairs in partials[0][1]]
+
+
+@given(st.integers(2, 5).flatmap(lambda p: st.lists(st.lists(st.integers(0, 30), min_size=p, max_size=p), min_size=1, max_size=30)))
+@settings(max_examples=300, deadline=None)
+def test_difference_equals_brute_force(items):
+    parts = len(items[0])
+    got = [set() for _ in range(parts)]
+    for number, to in enumerate(sharding.difference(items, parts)):
+        for k, part in enumerate(to):
+            got[part].add((number, k))
+    assert got == plain_difference(items, parts)
