@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from lexisweep.staging import staged
 
-# Examples of either label, terms, and neighbours, at most.
+# Examples of either label, and neighbours, at most.
 SAMPLE = 8192
-TERMS = 4096
 K = 15
 
 # A term goes with the label if so many examples have it, and so many times the
@@ -178,7 +177,8 @@ def held_out(doc_id="doc_id"):
 
 
 def _choose_terms(rows):
-    """Terms that go with label 1, the most telling first."""
+    """All terms that go with label 1, the most telling first: no more than the
+    bounded sample has."""
 
     def count(batches):
         found = [Counter(), Counter()]
@@ -208,7 +208,6 @@ def _choose_terms(rows):
         .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
         .filter((F.col("ones") >= LEAST_EXAMPLES) & (ratio >= LEAST_RATIO))
         .orderBy((F.col("ones") * F.log(ratio)).desc(), "term")
-        .limit(TERMS)
         .collect()
     )
     return [r["term"] for r in best], ones, zeros
@@ -275,7 +274,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     rows = _counted(docs.select("doc_id", "text"), vocabulary)
     frequency = numpy.zeros(len(vocabulary))
     each = rows.select(F.explode("terms").alias("term")).groupBy("term").count()
-    for r in each.collect():  # at most TERMS rows
+    for r in each.collect():  # a row per term of the sample
         frequency[r["term"]] = r["count"]
     idf = numpy.log((rows.count() + 1) / (frequency + 1)) + 1
     found, empty = [], [0.0, 0.0]
