@@ -11,6 +11,8 @@
    the nearest are exact.  The index is bounded by the sample and is broadcast.
 4. The neighbours vote by squared cosine; what the sample says of documents
    without any term stands in where neighbours are far.
+5. Votes of each example by its neighbours, itself left out, calibrate the scores:
+   a logistic curve turns a vote into the share of such examples that are toxic.
 """
 
 import math
@@ -42,6 +44,9 @@ BLOCK = 64
 # Weight of the prior against neighbours, each of which weighs at most 1.
 PRIOR = 0.5
 
+# Votes are this far from 0 and 1, at least, when they are calibrated.
+LEAST_VOTE = 1e-3
+
 # Score from which on a document is predicted toxic.
 TOXIC = 0.3
 
@@ -154,11 +159,15 @@ class Model:
         self.weights = numpy.array([e[2] for e in examples], dtype=float)
         self.index = Index([(t, unit(t, c, idf)) for *_, t, c in examples])
 
-    def score(self, terms, counts):
-        """(score, evidence): evidence is the nearest three, nearest first."""
+    def score(self, terms, counts, own=None):
+        """(vote, evidence): evidence is the nearest three, nearest first.  The
+        example with id ``own`` is left out."""
         if not len(terms):
             return self.zero_share, []
-        found, cosines = self.index.nearest(terms, unit(terms, counts, self.idf))
+        found, cosines = self.index.nearest(terms, unit(terms, counts, self.idf), K + (own is not None))
+        if own is not None:
+            others = numpy.array([self.ids[e] != own for e in found], dtype=bool)
+            found, cosines = found[others][:K], cosines[others][:K]
         weight = cosines**2 * self.weights[found]
         score = (float(weight @ self.labels[found]) + PRIOR * self.zero_share) / (
             float(weight.sum()) + PRIOR
@@ -170,6 +179,49 @@ class Model:
         return min(max(score, 0.0), 1.0), near
 
 
+def fit_calibration(votes, labels, weights, rounds=100):
+    """(slope, shift) of the logistic curve from the log odds of votes to labels, by
+    Newton steps; None if there is one label only or votes do not rise with it."""
+    votes, labels, weights = (numpy.asarray(a, dtype=float) for a in (votes, labels, weights))
+    ones, zeros = float(weights @ labels), float(weights @ (1 - labels))
+    if not ones or not zeros:
+        return None
+    # Targets just short of 0 and 1 keep the curve finite where votes are never wrong.
+    target = numpy.where(labels > 0.5, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    x = numpy.stack([_log_odds(votes), numpy.ones(len(votes))], axis=1)
+    curve = numpy.array([1.0, 0.0])
+
+    def loss(curve):
+        z = x @ curve
+        return float(weights @ (numpy.logaddexp(0, z) - target * z))
+
+    now = loss(curve)
+    for _ in range(rounds):
+        p = 1 / (1 + numpy.exp(-(x @ curve)))
+        slope = x.T @ (weights * (p - target))
+        bend = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-9 * numpy.eye(2)
+        step, size = numpy.linalg.solve(bend, slope), 1.0
+        while loss(curve - size * step) > now and size > 1e-6:
+            size /= 2
+        curve = curve - size * step
+        before, now = now, loss(curve)
+        if before - now < 1e-10 * abs(before):
+            break
+    return (float(curve[0]), float(curve[1])) if curve[0] > 0 else None
+
+
+def _log_odds(votes):
+    votes = numpy.clip(votes, LEAST_VOTE, 1 - LEAST_VOTE)
+    return numpy.log(votes / (1 - votes))
+
+
+def calibrated(vote, curve):
+    """The score of a vote; votes rank documents as scores do."""
+    if curve is None:
+        return vote
+    return float(1 / (1 + numpy.exp(-(curve[0] * _log_odds(vote) + curve[1]))))
+
+
 def held_out(doc_id="doc_id"):
     """Rows from whose labels nothing is learnt; a null id is one of them."""
     remainder = F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
@@ -257,14 +309,35 @@ def _counted(docs, vocabulary):
     return staged(docs.mapInArrow(count, f"{kept}, terms array<int>, counts array<int>"), "terms")
 
 
+def _curve(examples, shared):
+    """The calibration by the examples' own votes, each without itself."""
+
+    def vote(batches):
+        model = shared.value
+        for batch in batches:
+            columns = (batch.column(n).to_pylist() for n in ("doc_id", "terms", "counts"))
+            found = [model.score(t, c, own)[0] for own, t, c in zip(*columns)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.float64()), batch.column("toxic"), batch.column("weight")],
+                ["vote", "toxic", "weight"],
+            )
+
+    # The files of a sample are few; its rows are dealt over all cores.
+    dealt = examples.repartition("doc_id")
+    rows = dealt.mapInArrow(vote, "vote double, toxic int, weight double").collect()
+    rows.sort()  # at most 2 * sample rows of three numbers, summed in one order
+    return fit_calibration(*zip(*rows)) if rows else None
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``.
 
     Labels are learnt from rows of ``labels`` (doc_id, toxic) that are not held
     out; of several labels of an id the largest counts, null ones do not.  A score
-    depends on the text alone.  Texts without telling terms, also empty and null
-    ones, score what such examples have on average; without any examples that is
-    0.  Rows with a null id are held out.  Repeated rows get the same result; an
+    depends on the text alone, and a very long one is treated whole.  Texts without
+    telling terms, also empty and null ones, score what such examples have on
+    average; without any examples that is 0.  Of examples equally near, those of
+    smaller id vote.  With examples of one label only, votes are not calibrated.  Rows with a null id are held out.  Repeated rows get the same result; an
     empty table gives an empty one.
     """
     examples = _examples(docs, labels, sample)
@@ -277,15 +350,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     for r in each.collect():  # a row per term of the sample
         frequency[r["term"]] = r["count"]
     idf = numpy.log((rows.count() + 1) / (frequency + 1)) + 1
-    found, empty = [], [0.0, 0.0]
+    found, empty, counted = [], [0.0, 0.0], None
     if ones + zeros:
-        for r in _counted(examples, vocabulary).orderBy("doc_id").collect():  # the sample
+        counted = _counted(examples, vocabulary)
+        for r in counted.orderBy("doc_id").collect():  # the sample
             if r["terms"]:
                 found.append((r["doc_id"], r["toxic"], r["weight"], r["terms"], r["counts"]))
             else:
                 empty[r["toxic"]] += r["weight"]
     zero_share = empty[1] / sum(empty) if sum(empty) else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(Model(idf, found, zero_share))
+    curve = None if counted is None else _curve(counted, shared)
 
     def score(batches):
         model, known = shared.value, {}
@@ -299,7 +374,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
                     result = model.score(terms, counts)
                     if len(known) < 10_000:
                         known[key] = result
-                scores.append(result[0])
+                scores.append(calibrated(result[0], curve))
                 evidence.append(result[1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, near)],
