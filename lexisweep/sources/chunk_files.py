@@ -9,6 +9,7 @@ import json
 import re
 import uuid
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy
@@ -41,6 +42,12 @@ BATCH_BYTES = 8 << 20
 MOST_TASK = 64 << 20
 LEAST_TASK = 1 << 20
 
+# Bytes of rows that go to a Python worker at once while files are written: texts to
+# be encoded, and chunks.  Spark's own bound is 64 MB; a worker holds two batches, and
+# what it makes of them, and keeps that memory for the tasks after.
+WRITE_BATCH = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Names and types inside and outside a chunk file.
 SUFFIX = ".rb"
 FILE_FIELDS = (("title", pa.string()), ("text", pa.binary()))
@@ -108,7 +115,8 @@ def write_chunks(
     A chunk without rows below ``n_chunks`` (or below the highest chunk) gets a
     file of no rows.  ``grouped`` says that every chunk lies in one partition
     already, in order, and saves the shuffle; if that is not so the write fails
-    and leaves what was there.
+    and leaves what was there.  While it runs, the session sends batches of at most
+    WRITE_BATCH bytes to Python workers.
     """
     chunks.sparkSession.dataSource.register(ChunkFiles)
     metadata = metadata or ChunkMetadata({}, {})
@@ -119,14 +127,29 @@ def write_chunks(
         # Chunk k is written by task k: no two by one while another is idle.
         chunks = chunks.repartitionById(tasks, "chunk_id")
         chunks = chunks.sortWithinPartitions("chunk_id", "seq")
-    (
-        chunks.select("chunk_id", "title", F.col("text").cast("binary"))
-        .write.format(FORMAT)
-        .options(**options)
-        .option("n_chunks", n_chunks or 0)
-        .mode("overwrite")
-        .save(prefix)
-    )
+    rows = chunks.select("chunk_id", "title", F.col("text").cast("binary"))
+    writer = rows.write.format(FORMAT).options(**options).option("n_chunks", n_chunks or 0)
+    with _small_batches(chunks.sparkSession):
+        writer.mode("overwrite").save(prefix)
+
+
+@contextmanager
+def _small_batches(spark):
+    """Bounds the session's batches to Python workers; a smaller bound stays."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    if before is not None:
+        as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        if 0 < as_bytes(before) <= WRITE_BATCH:
+            yield
+            return
+    spark.conf.set(BATCH_SETTING, f"{WRITE_BATCH}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
 
 
 class ChunkFiles(DataSource):

@@ -236,6 +236,34 @@ def test_a_chunk_too_large_fails_early(tmp_path, monkeypatch):
         chunk_files._Writer({"path": f"{tmp_path}/set"}).write(iter([writer_input()]))
 
 
+@pytest.mark.parametrize("before", [None, "1m", "32m"])
+def test_texts_to_be_written_come_in_small_batches(spark, tmp_path, before):
+    """What a Python worker gets at once does not grow with the rows of a task."""
+    setting = chunk_files.BATCH_SETTING
+    most = min(chunk_files.WRITE_BATCH, (1 << 20) if before == "1m" else 1 << 40)
+
+    @F.arrow_udf("binary")
+    def batch_size(text):
+        return pa.array([str(text.nbytes).encode()] * len(text), pa.binary())
+
+    rows = spark.range(2000, numPartitions=1).selectExpr(
+        "cast(id div 200 as int) as chunk_id", "id as seq", "concat('t', id) as title", "repeat(char(97 + id % 26), 10000) as text"
+    )
+    if before:
+        spark.conf.set(setting, before)
+    try:
+        write_chunks(rows.withColumn("text", batch_size("text")), f"{tmp_path}/set")
+        assert spark.conf.get(setting, None) == before
+        back = read_chunks(spark, f"{tmp_path}/set").orderBy("seq").collect()
+        assert [r.title for r in back] == [f"t{k}" for k in range(2000)]
+        assert max(int(r.text) for r in back) <= most + 20_000
+        with pytest.raises(Exception):  # the setting comes back after a failure too
+            write_chunks(chunk_frame(spark, [-1]), f"{tmp_path}/other", grouped=True)
+        assert spark.conf.get(setting, None) == before
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_chunk_files_stop_at_a_gap(spark, tmp_path):
     prefix = str(tmp_path / "set")
     write_chunks(chunk_frame(spark, [0, 1, 2, 3]), prefix)
